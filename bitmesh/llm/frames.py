@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes and rows that one Arrow batch to a Python worker holds at most.
 BATCH_BYTES, BATCH_ROWS = 24 << 20, 4000
@@ -30,6 +31,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once however often they are used: a generator keeps the optimizer from repeating them."""
+    for name, c in columns.items():
+        df = df.select("*", F.explode_outer(F.array(c)).alias(name))
+    return df
+
+
 class Scratch:
     """Writes tables to the shared folder, so that what follows starts from files and not from the lineage.
 
