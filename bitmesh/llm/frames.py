@@ -48,13 +48,15 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/bitmesh/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.tables: list[DataFrame] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}"
         df.write.option("compression", "zstd").parquet(path)
+        self.spark._jvm.System.gc()  # lets Spark delete the shuffle files of what is now written
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        self._held = [*getattr(self, "_held", []), out]
+        self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitmesh.llm import decontaminate, line_dedup, pii, quality, url_rules
+from bitmesh.llm import decontaminate, line_dedup, pii, quality, shingle_join, url_rules
 from bitmesh.llm.frames import table
 from bitmesh.llm.packing import pack
 from bitmesh.llm.sharding import shard_digest
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.link(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"), 16)
 
@@ -49,7 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op3_sharding, op4_pii, op6_url_filters, op7_decontamination, op8_line_dedup, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard_join, op3_sharding, op4_pii, op6_url_filters, op7_decontamination, op8_line_dedup, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

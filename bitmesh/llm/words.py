@@ -135,31 +135,35 @@ def owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted, and their n + 1 borders.
+def shingle_runs(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of each text, repeated ones too, and the number of their text.
 
     A text with fewer words than ``size``, but not none, has one shingle: its whole sequence.
     """
     counts = np.diff(words.first)
-    n = len(words.code)
-    run = np.zeros(max(n - size + 1, 0), U64)
+    run = np.zeros(max(len(words.code) - size + 1, 0), U64)
     for k in range(size):
-        run += mix(words.code[k : k + len(run)] + U64(k * 2 + 1))* U64(2 * k + 3) if len(run) else run
+        run += mix(words.code[k : k + len(run)] + U64(2 * k + 1)) * U64(2 * k + 3)
     own = np.maximum(counts - size + 1, 0)
     keep = np.repeat(words.first[:-1] - (np.cumsum(own) - own), own) + np.arange(own.sum())
     code, text = mix(run[keep]), np.repeat(np.arange(len(own)), own)
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
-        whole = []
-        for i in short:
-            h = U64(counts[i])
-            for c in words.code[words.first[i] : words.first[i + 1]]:
-                h = mix(np.array([h * U64(31) ^ c]))[0]
-            whole.append(h)
-        code, text = np.concatenate([code, np.array(whole, U64)]), np.concatenate([text, short])
+        whole = mix(counts[short].astype(U64))
+        for k in range(size - 1):
+            more = counts[short] > k
+            at = words.first[short[more]] + k
+            whole[more] = mix(whole[more] * U64(31) ^ words.code[at])
+        code, text = np.concatenate([code, whole]), np.concatenate([text, short])
+    return code, text
+
+
+def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, sorted, and their n + 1 borders."""
+    code, text = shingle_runs(words, size)
     order = np.lexsort((code, text))
     code, text = code[order], text[order]
     new = np.ones(len(code), bool)
     new[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
     code, text = code[new], text[new]
-    return code, np.searchsorted(text, np.arange(len(own) + 1))
+    return code, np.searchsorted(text, np.arange(len(words.first)))
