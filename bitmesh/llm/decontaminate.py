@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from bitmesh.llm import words as W
 from bitmesh.llm.fm_index import FMIndex
-from bitmesh.llm.frames import small_batches
+from bitmesh.llm.frames import prepare
 
 WINDOW = 10
 SHARD_BYTES = 48 << 20
@@ -141,7 +141,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, with_text: bool =
     like new ones are replaced; an empty table on either side gives no hits.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     own = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "cleaned"]
     docs = docs.drop(*own).withColumn("text", F.col("text").cast("string"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitmesh.llm import words as W
-from bitmesh.llm.frames import Scratch, small_batches
+from bitmesh.llm.frames import Scratch, prepare
 
 MIN_WORDS = 50
 
@@ -99,7 +99,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS
     columns named like new ones are replaced; an empty table stays empty.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     scratch = Scratch(spark)
     own = ["n_lines", "n_dropped", "dropped", "cleaned", "__o", "__h"]
     old = [c for c in docs.columns if c not in own]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitmesh.llm import decontaminate, line_dedup, pii, quality, shingle_join, url_rules
+from bitmesh.llm import chat, decontaminate, line_dedup, pii, quality, shingle_join, url_rules
 from bitmesh.llm.frames import table
 from bitmesh.llm.packing import pack
 from bitmesh.llm.sharding import shard_digest
@@ -31,6 +31,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -53,8 +57,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard_join, op3_sharding, op4_pii, op6_url_filters, op7_decontamination, op8_line_dedup, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_packing, op2_ngram_jaccard_join, op3_sharding, op4_pii, op5_chat_formatting, op6_url_filters, op7_decontamination, op8_line_dedup, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": url_rules.SQL, "op7_decontamination": decontaminate.SQL, "op10_quality_rules": quality.SQL}
+    return {"op5_chat_formatting": chat.SQL, "op6_url_filters": url_rules.SQL, "op7_decontamination": decontaminate.SQL, "op10_quality_rules": quality.SQL}

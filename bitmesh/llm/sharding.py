@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitmesh.llm.frames import Scratch
+from bitmesh.llm.frames import Scratch, prepare
 from bitmesh.llm.words import U64, mix
 
 #: Step of the linear congruential generator that the jump hash is defined with (fixed value).
@@ -46,6 +46,7 @@ def assign(rows: DataFrame, key: str = "doc_id", shards: int = 16) -> DataFrame:
     ones are replaced.
     """
     spark = rows.sparkSession
+    prepare(spark)
     own = ["shard", "grown_shard", "slot", "slot_task"]
     rows = rows.drop(*own)
     keyed = rows.withColumn("slot_task", F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0).cast("long")))

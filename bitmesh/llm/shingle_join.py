@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from bitmesh.llm import words as W
 from bitmesh.llm.components import connected
-from bitmesh.llm.frames import Scratch, small_batches
+from bitmesh.llm.frames import Scratch, prepare
 
 SHINGLE, PERCENT = 5, 80
 #: A token is frequent if more fingerprints than this are equal to its own.
@@ -238,7 +238,7 @@ def link(docs: DataFrame) -> DataFrame:
     ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     scratch = Scratch(spark)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sets = scratch.keep(_classes(own))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitmesh.llm.frames import small_batches
+from bitmesh.llm.frames import prepare
 
 #: Ends each label of a host key. It sorts before every other character, so that a host's subdomains follow it without a gap.
 END = "\x01"
@@ -82,7 +82,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", default
     nothing; of equal rules, block wins. Extra columns are ignored.
     """
     spark = pages.sparkSession
-    small_batches(spark)
+    prepare(spark)
     host, path = host_and_path()
     urls = pages.select(F.col(key).cast("long").alias("page_id"), host, path).withColumn("k", host_key(F.col("host")))
     urls = urls.withColumn("spread", F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)).cast("int"))
