@@ -12,9 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitmesh.llm import words as W
 from bitmesh.llm.frames import Scratch, prepare
-from bitmesh.llm.tokens import VOCABULARY, IdStore
+from bitmesh.llm.tokens import VOCABULARY, IdStore, units
 
 WINDOW, END_ID = 4096, 2
 #: Pieces that are packed together at most about; more only save part of a window for each group.
@@ -79,7 +78,7 @@ def cut_tokens(docs: DataFrame, window: int = WINDOW, end_id: int | None = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = IdStore(path, end_id)
         for b in batches:
-            ids, borders = store.encode(W.scan(b["text"], fold=W.SAME))
+            ids, borders = store.encode(units(b["text"]))
             total = np.diff(borders)
             pieces = -(-total // window)
             row = np.repeat(np.arange(len(total)), pieces)

@@ -23,6 +23,8 @@ from bitmesh.llm.frames import prepare
 
 VOCABULARY = "word_bpe_49k.json"
 STORE_WORDS = 1_500_000
+#: Words that are one pre-token, and what ends the last token of each in the vocabulary (fixed values).
+PLAIN, WORD_END = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), "</w>"
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -115,6 +117,16 @@ class MergeCounter:
         return total
 
 
+def units(texts: pa.Array) -> W.Words:
+    """What is tokenised and remembered: words at white space, without a mark at the end.
+
+    The tokenizer splits there in any case, and it lower-cases all letters; of
+    words with characters beyond Latin-1, where lower-casing and composing
+    could depend on each other, and of possible special tokens the case counts.
+    """
+    return W.scan(texts, peel=True, unfolded=W.RARE)
+
+
 class WordStore:
     """Numbers by word: ``number(words)`` gives for each distinct word's first place an entry, asking ``make`` for unknown ones."""
 
@@ -124,7 +136,8 @@ class WordStore:
 
     def look_up(self, words: W.Words) -> np.ndarray:
         """The value of every word of the batch."""
-        code, first, back = np.unique(words.code, return_index=True, return_inverse=True)
+        coded = pa.array(words.code).dictionary_encode()
+        code, back = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         if len(self.codes) > STORE_WORDS:
             self.codes, self.values = self.codes[:0], self.values[:0]
             self.emptied()
@@ -132,6 +145,8 @@ class WordStore:
         new = np.flatnonzero(self.codes[at] != code) if len(self.codes) else np.arange(len(code))
         if len(new):
             raw = words.buf.tobytes()
+            first = np.empty(len(code), np.int64)
+            first[back[::-1]] = np.arange(len(back))[::-1]
             places = first[new]
             texts = [raw[s:e].decode() for s, e in zip(words.start[places].tolist(), words.end[places].tolist(), strict=True)]
             values = self.make(texts)
@@ -159,7 +174,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = WordStore(MergeCounter(path).count)
         for b in batches:
-            words = W.scan(b["text"], fold=W.SAME)
+            words = units(b["text"])
             sums = np.r_[0, np.cumsum(store.look_up(words))]
             tokens = np.diff(sums[words.first])
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.diff(words.offsets)), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -177,6 +192,9 @@ class IdStore(WordStore):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         super().__init__(self._encode)
         self.emptied()
 
@@ -187,11 +205,28 @@ class IdStore(WordStore):
         self.known = 1
 
     def _encode(self, words: list[str]) -> np.ndarray:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Entries of new words. Words of Latin letters are one pre-token each, so many of them can be encoded as one text and told apart by the tokens that end a word."""
+        plain = [i for i, w in enumerate(words) if PLAIN.fullmatch(w)]
+        other = sorted(set(range(len(words))) - set(plain))
+        groups = [plain[at : at + 1000] for at in range(0, len(plain), 1000)]
+        joined = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False)
+        order: list[int] = []
+        for group, e in zip(groups, joined, strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) != len(group):
+                other += group
+                continue
+            order += group
+            self.ids.append(ids)
+            self.lengths.append(np.diff(np.r_[-1, ends]))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False)]
         self.lengths.append(np.array([len(x) for x in found], np.int64))
         self.ids.append(np.array([i for x in found for i in x], np.uint32))
-        self.known += len(found)
-        return np.arange(self.known - len(found), self.known)
+        entries = np.empty(len(words), np.int64)
+        entries[np.array(order + other, np.int64)] = np.arange(self.known, self.known + len(words))
+        self.known += len(words)
+        return entries
 
     def encode(self, words: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the batch's documents, one after the other, each with its end, and their borders."""

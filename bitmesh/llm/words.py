@@ -26,6 +26,13 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes that end a word of the kind ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z is lower case.
 NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+#: Marks that may be taken off a word, and letters of one byte.
+MARKS, LETTERS = np.zeros(256, bool), np.zeros(256, bool)
+MARKS[[*b".,;:!?"]] = True
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: Bytes beyond ASCII and Latin-1 letters, and the one that special tokens begin with.
+RARE = np.zeros(256, bool)
+RARE[[0x3C, 0xC2, *range(0xC4, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 SAME = np.arange(256, dtype=np.uint8)
@@ -86,8 +93,24 @@ def text_buffer(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return buf, offsets - offsets[0]
 
 
-def scan(texts: pa.Array | pa.ChunkedArray, ends: np.ndarray = SPACE, fold: np.ndarray = LOWER) -> Words:
-    """Words of each text: the longest runs of bytes not in ``ends``, hashed after ``fold``."""
+def _peel(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Takes a mark off the end of each word where a Latin letter stands before it, as a word of its own."""
+    last, prev, first = part[end - 1], part[np.maximum(end - 2, 0)], part[np.maximum(end - 3, 0)]
+    loose = MARKS[last] & (end - start >= 2) & (LETTERS[prev] | ((end - start >= 3) & (first == 0xC3) & (prev >= 0x80) & (prev != 0x97) & (prev != 0xB7)))
+    times = 1 + loose
+    place = np.cumsum(times)[loose] - 1
+    cut = end[loose] - 1
+    start, end = np.repeat(start, times), np.repeat(end, times)
+    start[place], end[place - 1] = cut, cut
+    return start, end
+
+
+def scan(texts: pa.Array | pa.ChunkedArray, ends: np.ndarray = SPACE, fold: np.ndarray = LOWER, peel: bool = False, unfolded: np.ndarray | None = None) -> Words:
+    """Words of each text: the longest runs of bytes not in ``ends``, hashed after ``fold``.
+
+    With ``peel``, a mark after a word's last letter is a word of its own.
+    Words with a byte of ``unfolded`` are hashed as they are.
+    """
     buf, offsets = text_buffer(texts)
     inner = ~ends
     border = offsets[1:-1]
@@ -117,11 +140,18 @@ def scan(texts: pa.Array | pa.ChunkedArray, ends: np.ndarray = SPACE, fold: np.n
         left[own[own < to - at]] = False
         right[own[own > 0] - 1] = False
         s, e = np.flatnonzero(word & ~left), np.flatnonzero(word & ~right) + 1
+        if peel and len(s):
+            s, e = _peel(part, s, e)
         up, down = _power_tables(to - at + 1)
         total = np.empty(to - at + 1, U64)
         total[0] = 0
         np.cumsum(_TABLE[fold][part] * up[: to - at], out=total[1:])
-        codes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(U64)))
+        code = (total[e] - total[s]) * down[s]
+        if unfolded is not None and (rare := unfolded[part]).any():
+            np.cumsum(_TABLE[part] * up[: to - at], out=total[1:])
+            seen = np.r_[0, np.cumsum(rare)]
+            code = np.where(seen[e] > seen[s], (total[e] - total[s]) * down[s], code)
+        codes.append(mix(code + (e - s).astype(U64)))
         starts.append(s + at)
         stops.append(e + at)
         at = to
