@@ -138,7 +138,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS
     )
     cuts = scratch.keep(cuts.select("__o", "__h", merged.alias("__cut")))
     scratch.drop(lines)
-    joined = docs.select(*[F.col(f"`{c}`") for c in old], *identity).join(cuts, ["__o", "__h"], "left")
+    joined = docs.select(*[F.col(f"`{c}`") for c in old], *identity).join(cuts.hint("merge"), ["__o", "__h"], "left")
     split = F.split(value, "\n")
     none = F.array().cast("array<struct<a:int,b:int>>")
     cut = F.coalesce(F.col("__cut"), none)
