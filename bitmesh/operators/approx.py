@@ -47,7 +47,8 @@ def multi_probe_pairs(codes: DataFrame, k: int, bits: int = 16, flips: int = 0)
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     key = C.extract_bits([F.col(n) for n in names], 0, bits, width)[0]
     words = C.to_words(codes, width)
-    asked = words.select("id", *names, key.alias("key")).select("id", *names, F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(m).cast("bigint")) for m in masks])).alias("key"))
+    flipped = F.transform(F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>"), lambda m: F.col("key").bitwiseXOR(m))
+    asked = words.select("id", *names, key.alias("key")).select("id", *names, F.explode(flipped).alias("key"))
     a, b = asked.alias("a"), words.select("id", *names, key.alias("key")).alias("b")
     dist = C.hamming([F.col(f"a.{n}") for n in names], [F.col(f"b.{n}") for n in names]).cast("int")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (dist <= k))

@@ -56,7 +56,7 @@ def xorshift_bytes(n: int, d_bytes: int, seed: int) -> np.ndarray:
         state ^= state >> 7
         state ^= (state << 17) & (2**64 - 1)
         out.append((state * 2685821657736338717 & (2**64 - 1)) >> 56)
-    return np.frombuffer(bytes(out), np.uint8).reshape(n, d_bytes)
+    return np.frombuffer(out, np.uint8).reshape(n, d_bytes)
 
 
 def spark_uniform(spark: SparkSession, n: int, d_bytes: int, seed: int = 0) -> DataFrame:
