@@ -51,6 +51,13 @@ def from_words(words: list[Column], d_bytes: int) -> Column:
     return F.unhex(F.concat(*parts))
 
 
+def hamming_distance(a: bytes, b: bytes) -> int:
+    """Number of differing bits of two codes of one width, outside of Spark."""
+    if len(a) != len(b):
+        raise ValueError(f"codes have different widths: {len(a)} and {len(b)} bytes")
+    return (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count()
+
+
 def hamming(a: list[Column], b: list[Column]) -> Column:
     """Number of differing bits of two codes, given as words."""
     out = None

@@ -174,3 +174,34 @@ def sweep_summary(times: dict[int, list[float]]) -> list[dict[str, float]]:
         speedup = base[0] / middle
         out.append({"threads": threads, "median_s": middle, "best_s": own[0], "worst_s": own[-1], "speedup": speedup, "efficiency": speedup * base[1] / threads})
     return out
+
+
+def thread_sweep(threads: list[int], n: int, d_bytes: int, k: int, reps: int = 3) -> dict[int, list[float]]:
+    """Seconds of a self-join of uniform codes on ``local[t]`` for each t, each in a process of its own, without its start."""
+    import json
+    import subprocess
+    import sys
+
+    code = (
+        "import json, sys, time\n"
+        "from pyspark.sql import SparkSession\n"
+        "from bitmesh.operators.pairs import find_pairs_self\n"
+        "from bitmesh.sources.generate import spark_uniform\n"
+        "t, n, d, k, reps = map(int, sys.argv[1:])\n"
+        "s = SparkSession.builder.master(f'local[{t}]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', t).getOrCreate()\n"
+        "codes = spark_uniform(s, n, d).repartition(t).cache(); codes.count()\n"
+        "def once():\n"
+        "    start = time.perf_counter(); find_pairs_self(codes, k).count(); return time.perf_counter() - start\n"
+        "once(); print('TIMES', json.dumps([once() for _ in range(reps)]))\n"
+    )
+    out = {}
+    for t in threads:
+        run = subprocess.run([sys.executable, "-c", code, *map(str, (t, n, d_bytes, k, reps))], capture_output=True, text=True, check=True)
+        out[t] = json.loads(run.stdout.rpartition("TIMES ")[2])
+    return out
+
+
+def latest(results: DataFrame, count: int = 20) -> DataFrame:
+    """The last rows of a session's results that have a time, slowest first: what the session's chart shows."""
+    rows = results.withColumn("place", F.monotonically_increasing_id())
+    return rows.where(F.col("time_s").isNotNull()).orderBy(F.desc("place")).limit(count).orderBy(F.desc("time_s")).drop("place")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bitmesh.functions import codes as C
 from bitmesh.operators import approx, pairs
 from bitmesh.plans.chunks import bit_entropies
+from bitmesh.sources.generate import split_in_half
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -165,23 +166,75 @@ _add(
 )
 
 
-def _stream(s: SparkSession, d: str) -> DataFrame:
-    """A stream of the embeddings' codes against the table itself, run to its end."""
+def _index_nested(s: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    from bitmesh.operators.index import Index
+    from bitmesh.sources.shared import shared_folder
+
+    codes = text_codes(s, d)
+    index = Index(s, f"{shared_folder(s)}/bitmesh-index/{uuid.uuid4().hex}", 8, 3)
+    index.add_batch(codes.where("id < 100"))
+    index.add_batch(codes.where("id >= 100"))
+    found = index.query_batch(codes.where("id % 7 = 0"))
+    return found.select("query_id", F.size("hits").cast("bigint").alias("hits"))
+
+
+_add(
+    "index_nested_queries",
+    _index_nested,
+    f"WITH {_simhash_sql()} SELECT a.id AS query_id, count(b.id) AS hits FROM codes a LEFT JOIN codes b ON bit_count(xor(a.code, b.code)) <= 3 WHERE a.id % 7 = 0 GROUP BY a.id",
+)
+
+
+def _split(s: SparkSession, d: str) -> DataFrame:
+    codes = sign_codes(s, d)
+    return pairs.find_pairs_cross_bit(*split_in_half(codes, codes.count()), 20)
+
+
+_add("cross_split_halves", _split, f"WITH {SIGNS}, n AS (SELECT count(*) // 2 AS half FROM codes) SELECT a.id AS i, b.id - half AS j, bit_count(xor(a.code, b.code))::INT AS dist FROM n, codes a JOIN codes b ON bit_count(xor(a.code, b.code)) <= 20 WHERE a.id < half AND b.id >= half")
+_add("self_qgram_fallback", lambda s, d: pairs.find_pairs_qgram_self(sign_codes(s, d), 18, 8), _self_sql(SIGNS, 18))
+_add(
+    "recall_cross",
+    lambda s, d: approx.recall(pairs.find_pairs_cross(*halves(text_codes(s, d)), 3), pairs.find_pairs_cross_bit(*halves(text_codes(s, d)), 6)),
+    f"WITH r AS ({_cross_sql(_simhash_sql(), 6)}) SELECT count(*) FILTER (WHERE dist <= 3) AS found, count(*) AS truth, count(*) FILTER (WHERE dist <= 3) AS common, CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE dist <= 3)::DOUBLE / count(*) END AS recall FROM r",
+)
+
+
+def _finished(s: SparkSession, found: DataFrame) -> DataFrame:
+    """What a stream gives until its source has no more."""
     import uuid
 
     from bitmesh.sources.shared import shared_folder
-    from bitmesh.streaming.near import against
 
-    source = f"{d}/embeddings.parquet"
-    schema = s.read.parquet(source).schema
-    stream = s.readStream.schema(schema).parquet(f"{d}/embeddings.parque[t]").select(F.col("vec_id").alias("id"), C.sign_code("embedding", 64).alias("code"))
-    found = against(stream, sign_codes(s, d), 18, 8).where("i < j")
     folder = f"{shared_folder(s)}/bitmesh-stream/{uuid.uuid4().hex}"
-    run = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+    found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(found.schema).parquet(f"{folder}/out")
 
 
+def _code_stream(s: SparkSession, d: str) -> DataFrame:
+    schema = s.read.parquet(f"{d}/embeddings.parquet").schema
+    rows = s.readStream.schema(schema).parquet(f"{d}/embeddings.parque[t]")
+    return rows.select(F.col("vec_id").alias("id"), C.sign_code("embedding", 64).alias("code"), F.timestamp_seconds(F.lit(1_700_000_000) + 60 * F.col("vec_id")).alias("ts"))
+
+
+def _stream_within(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of embeddings that come at most 30 minutes of each other, one a minute."""
+    from bitmesh.streaming.near import within_time
+
+    return _finished(s, within_time(_code_stream(s, d), _code_stream(s, d), 22, 8, apart="30 minutes"))
+
+
+_add("stream_within_time", _stream_within, f"WITH r AS ({_self_sql(SIGNS, 22)}) SELECT * FROM r WHERE j - i <= 30")
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """A stream of the embeddings' codes against the table itself, run to its end."""
+    from bitmesh.streaming.near import against
+
+    return _finished(s, against(_code_stream(s, d).drop("ts"), sign_codes(s, d), 18, 8).where("i < j"))
+
+
 _add("stream_against_table", _stream, _self_sql(SIGNS, 18))
 
 

@@ -135,6 +135,12 @@ def test_bit_functions(spark):
         C.extract_bits(words, 0, 129, 13)
 
 
+def test_distance_of_bytes():
+    assert C.hamming_distance(b"\xff\x00", b"\x00\x01") == 9 and C.hamming_distance(b"", b"") == 0
+    with pytest.raises(ValueError):
+        C.hamming_distance(b"a", b"ab")
+
+
 def test_distance_kernels(spark):
     a = np.array([[0x00] * 32, [0xFF] * 32, [0xAA] * 32, [0x55] * 32], np.uint8)
     df = C.to_words(from_numpy(spark, a), 32)
