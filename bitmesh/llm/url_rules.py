@@ -16,6 +16,8 @@ END = "\x01"
 #: Sorts after every key that starts with the same labels.
 LAST = "\U0010ffff"
 RANGE_ROWS = 50_000
+#: Ranges at most: a bound for the borders and for the sample that gives them. Beyond it, ranges get longer, which their sorted sweep allows.
+MOST_RANGES = 1 << 14
 #: The method's verdict where no rule fits.
 DEFAULT = "allow"
 
@@ -87,7 +89,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", default
     urls = pages.select(F.col(key).cast("long").alias("page_id"), host, path).withColumn("k", host_key(F.col("host")))
     urls = urls.withColumn("spread", F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)).cast("int"))
     count = urls.count()
-    ranges = max(1, -(-count // range_rows))
+    ranges = max(1, min(MOST_RANGES, -(-count // range_rows)))
     borders: list[tuple[str, int]] = []
     if ranges > 1:
         # borders only steer the dealing; a bounded sample of about 20 keys a range gives them
@@ -95,7 +97,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", default
         some = sorted((r["k"], r["spread"]) for r in urls.where(F.col("spread") < int(share * (1 << 20)) + 1).select("k", F.pmod(F.xxhash64("page_id", F.lit(7)), F.lit(1 << 20)).cast("int").alias("spread")).collect())
         borders = sorted({some[len(some) * i // ranges] for i in range(1, ranges)}) if some else []
     urls = urls.withColumn("spread", F.pmod(F.xxhash64("page_id", F.lit(7)), F.lit(1 << 20)).cast("int"))
-    shared = spark.sparkContext.broadcast(borders)  # one border for each range: its size is that of the plan's partition list
+    shared = spark.sparkContext.broadcast(borders)  # fewer than MOST_RANGES
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = shared.value
