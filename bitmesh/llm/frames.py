@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -10,23 +11,16 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes and rows that one Arrow batch to a Python worker holds at most.
-BATCH_BYTES, BATCH_ROWS = 24 << 20, 4000
+from bitmesh.sources.shared import shared_folder
+
+#: Bytes and rows that one Arrow batch to a Python worker holds at most; more rows for operators that keep something from batch to batch.
+BATCH_BYTES, BATCH_ROWS, LARGE_BATCH = 2 << 20, 500, 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in local tests, one of this session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='bitmesh-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 _shipped: set[str] = set()
 
 
@@ -43,11 +37,11 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, times: int = 1) -> None:
     """For Python operators: the executors get this package, and batches bound a worker's memory however long the texts are."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(times * BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(times * BATCH_BYTES))
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -72,12 +66,17 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}"
         df.write.option("compression", "zstd").parquet(path)
-        self.spark._jvm.System.gc()  # lets Spark delete the shuffle files of what is now written
+        self.tidy()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self.tables.append(out)
         return out
 
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files of queries that have ended; it does so when their plans are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:

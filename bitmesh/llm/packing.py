@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitmesh.llm.frames import Scratch, prepare
+from bitmesh.llm.frames import LARGE_BATCH, Scratch, prepare
 from bitmesh.llm.tokens import VOCABULARY, IdStore, units
 
 WINDOW, END_ID = 4096, 2
@@ -72,7 +72,7 @@ def best_fit(lengths: np.ndarray, capacity: int = WINDOW) -> tuple[np.ndarray, n
 
 def cut_tokens(docs: DataFrame, window: int = WINDOW, end_id: int | None = END_ID, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Tokenises every text and cuts it into full windows and a rest: ``doc_id, start, length, ids_crc32, doc_tokens`` and, if asked for, ``ids`` (unsigned 32-bit, little-endian)."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, LARGE_BATCH)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

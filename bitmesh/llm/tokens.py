@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitmesh.llm import words as W
-from bitmesh.llm.frames import prepare
+from bitmesh.llm.frames import LARGE_BATCH, prepare
 
 VOCABULARY = "word_bpe_49k.json"
 STORE_WORDS = 1_500_000
@@ -168,7 +168,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     null and repeated doc_ids keep their rows; other columns are ignored;
     texts of any length are counted whole.
     """
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, LARGE_BATCH)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

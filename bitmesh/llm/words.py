@@ -10,13 +10,15 @@ collide with a chance near 2**-64 per pair, which the operators accept.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SEGMENT_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 19
 _BASE = 0x9E6C63D0876A3F35  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -38,6 +40,22 @@ LOWER[0x41:0x5B] += 0x20
 SAME = np.arange(256, dtype=np.uint8)
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lets a worker give its free memory back to the system when a task ends; else it keeps it while it waits."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
+
 class Words(NamedTuple):
     """Words of a batch of texts, in order: byte borders in ``buf``, 64-bit hashes, and ``first[i]:first[i + 1]`` for text i."""
 
