@@ -61,4 +61,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": chat.SQL, "op6_url_filters": url_rules.SQL, "op7_decontamination": decontaminate.SQL, "op10_quality_rules": quality.SQL}
+    return {"op2_ngram_jaccard_join": shingle_join.SQL, "op5_chat_formatting": chat.SQL, "op6_url_filters": url_rules.SQL, "op7_decontamination": decontaminate.SQL, "op10_quality_rules": quality.SQL}

@@ -3,13 +3,14 @@
 A document's set holds the distinct five-word shingles of its text. Two sets
 with a Jaccard similarity of t or more share a token of their prefixes, the
 first n - ceil(t * n) + 1 tokens, under every global order of the tokens. The
-orders here sort frequent tokens last and the others by independent hashes.
+orders here sort frequent tokens last, by their counts, and the others by
+independent hashes.
 
 1. Documents with equal sets form a class; its smallest doc_id stands for it.
 2. Frequent tokens are found by counting token fingerprints over all texts.
-3. Each class posts its prefix under the first order. Of every token's
-   classes the smallest is the hub, and the others are compared with it: a
-   star, not all pairs. What links already connect needs no further look.
+3. Each class posts its prefix under the first order. One of every token's
+   classes is the hub, and the others are compared with it: a star, not all
+   pairs. What links already connect needs no further look.
 4. Classes that share a posted token but no component yet are paired, but for
    those that sizes, counts of shared prefix tokens or the distances to their
    hub rule out (Jaccard distance is a metric).
@@ -38,12 +39,12 @@ SHINGLE, PERCENT = 5, 80
 FREQUENT = 32
 #: Frequent tokens that are broadcast at most (8 bytes each). Beyond it, the bar for being frequent rises; the join stays exact under any order.
 MOST_FREQUENT = 1 << 20
-#: Share of the hash range whose tokens are counted; prefixes seldom reach beyond it.
-COUNTED = 0.5
 #: Bytes of fingerprints that one counting task holds at about.
-COUNT_BYTES = 24 << 20
+COUNT_BYTES = 12 << 20
 #: Classes that are compared with a hub in one task at about.
 HUB_ROWS = 1000
+#: Random hubs of a large group at most, and nodes that make a bucket large.
+HUBS, LARGE = 8, 16
 #: Seeds of the orders after the first (fixed values).
 ORDERS = (0x51ED270B27B5A3C5, 0x2545F4914F6CDD1D)
 NO_ID = 2**63 - 1
@@ -77,20 +78,19 @@ def _classes(docs: DataFrame) -> DataFrame:
                 sums.append(pa.array((total[borders[1:]] - total[borders[:-1]]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b["doc"], pa.array(np.diff(borders)), *sums], ["doc", "n", "k1", "k2"])
 
-    return docs.mapInArrow(run, "doc long, n long, k1 long, k2 long")
+    return docs.mapInArrow(W.frugal(run), "doc long, n long, k1 long, k2 long")
 
 
-def _frequent(docs: DataFrame, tokens: int, counted: float = COUNTED, frequent: int = FREQUENT) -> np.ndarray:
-    """Fingerprints of frequent tokens, sorted.
+def _frequent(docs: DataFrame, tokens: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of frequent tokens, sorted, and their counts.
 
     Each task packs the fingerprints of its texts by range; a range's counts
     meet in one task of about COUNT_BYTES, however skewed the tokens are,
     because a task sends each fingerprint once with the number of its
     occurrences, up to 255 at a time.
     """
-    ranges = max(8, -(-int(tokens * counted * 7) // COUNT_BYTES))
-    top = int(2**48 * counted)
-    width = -(-top // ranges)
+    ranges = max(8, -(-int(tokens * 7) // COUNT_BYTES))
+    width = -(-(2**48) // ranges)
 
     def emit(code: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         mark, count = np.unique(np.concatenate(code), return_counts=True)
@@ -107,9 +107,8 @@ def _frequent(docs: DataFrame, tokens: int, counted: float = COUNTED, frequent:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for b in batches:
-            mark = _fingerprints(W.shingle_runs(W.scan(b["text"]), SHINGLE)[0])
-            held.append(mark[mark < W.U64(top)])
-            if sum(map(len, held)) > 6_000_000:
+            held.append(_fingerprints(W.shingle_runs(W.scan(b["text"]), SHINGLE)[0]))
+            if sum(map(len, held)) > 2_500_000:
                 yield from emit(held)
                 held = []
         if held:
@@ -137,41 +136,80 @@ def _frequent(docs: DataFrame, tokens: int, counted: float = COUNTED, frequent:
         if held:
             yield told()
 
-    packed = docs.select("text").mapInArrow(pack, "range long, packed binary")
-    counts = packed.repartition(min(ranges, 4096), "range").sortWithinPartitions("range").mapInArrow(count, "mark long, total long")
+    packed = docs.select("text").mapInArrow(W.frugal(pack), "range long, packed binary")
+    counts = packed.repartition(min(ranges, 4096), "range").sortWithinPartitions("range").mapInArrow(W.frugal(count), "mark long, total long")
     rows = counts.orderBy(F.desc("total"), "mark").limit(MOST_FREQUENT).toArrow()
-    return np.sort(rows["mark"].to_numpy().astype(np.uint64))
+    mark, total = rows["mark"].to_numpy().astype(np.uint64), rows["total"].to_numpy().astype(np.uint64)
+    order = np.argsort(mark)
+    return mark[order], total[order]
 
 
-def _order(code: np.ndarray, late: np.ndarray, seed: int) -> np.ndarray:
-    """Sort keys of tokens under an order: frequent tokens last, the rest by hash."""
-    spread = (W.mix(code ^ W.U64(seed)) if seed else code) >> W.U64(1)
-    return spread | (late.astype(np.uint64) << W.U64(63))
+def _order(code: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], seed: int) -> np.ndarray:
+    """Sort keys of tokens under an order: rare tokens by hash, then frequent ones by count and hash. The highest bit tells the latter."""
+    spread = W.mix(code ^ W.U64(seed)) if seed else code
+    key = spread >> W.U64(1)
+    marks, totals = frequent
+    if len(marks):
+        found = _fingerprints(code)
+        at = np.minimum(np.searchsorted(marks, found), len(marks) - 1)
+        late = np.flatnonzero(marks[at] == found)
+        count = np.minimum(totals[at[late]], W.U64((1 << 23) - 1))
+        key[late] = W.U64(1 << 63) | count << W.U64(40) | spread[late] >> W.U64(24)
+    return key
 
 
-def _postings(docs: DataFrame, late) -> DataFrame:
-    """``token, node, n``: the prefix of each text under the first order."""
+def _postings(docs: DataFrame, frequent) -> DataFrame:
+    """``token, late, node, n, rare, place``: the prefix of each text under the first order, with the set's size, how many of its tokens are rare, and the token's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             code, borders = W.shingles(W.scan(b["text"]), SHINGLE)
             n = np.diff(borders)
             text = np.repeat(np.arange(len(n)), n)
-            key = _order(code, _in(_fingerprints(code), late.value), 0)
-            # tokens come sorted by hash inside a text, so that only the frequent ones have to move behind the others
-            order = np.argsort(text * 2 + (key >> W.U64(63)).astype(np.int64), kind="stable")
+            key = _order(code, frequent.value, 0)
+            late = key >= W.U64(1 << 63)
+            # a text's tokens come sorted by hash, so that only the frequent ones have to be sorted and moved behind the others
+            order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])
+            order = order[np.argsort(text[order], kind="stable")]
+            some = np.flatnonzero(late[order])
+            order[some] = order[some][np.lexsort((key[order[some]], text[order[some]]))]
             place = np.arange(len(order)) - np.repeat(borders[:-1], n)
             mine = order[place < np.repeat(prefix_length(n), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(code[mine].view(np.int64)), b["doc"].take(pa.array(text[mine])), pa.array(n[text[mine]])], ["token", "node", "n"])
+            rare = n - np.bincount(text[late], minlength=len(n))
+            columns = [pa.array(code[mine].view(np.int64)), pa.array(late[mine]), b["doc"].take(pa.array(text[mine])), pa.array(n[text[mine]].astype(np.int32)), pa.array(rare[text[mine]].astype(np.int32)), pa.array(place[place < np.repeat(prefix_length(n), n)].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "late", "node", "n", "rare", "place"])
 
-    return docs.mapInArrow(run, "token long, node long, n long")
+    return docs.mapInArrow(W.frugal(run), "token long, late boolean, node long, n int, rare int, place int")
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def _compare(docs: DataFrame, pairs: DataFrame, late) -> DataFrame:
+def _overlap(n: Column, m: Column) -> Column:
+    """The least intersection of sets of these sizes that are linked."""
+    return F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+
+
+def _may_link(x: str, y: str) -> Column:
+    """Whether a token that two sets share can make them candidates.
+
+    Sets that share frequent tokens alone can't share more of them than the
+    smaller number that they have. If that is not enough, they also share a
+    rare token; as frequent tokens come last, all rare ones are posted, and
+    the pair is met there.
+    """
+    n, m, r, q = (F.col(f"{t}.{c}") for c in ("n", "rare") for t in (x, y))
+    return _sizes_fit(n, m) & (~F.col(f"{x}.late") | (F.least(n - r, m - q) >= _overlap(n, m)))
+
+
+def _meet_here(x: str, y: str) -> Column:
+    """Whether two sets are paired by a token that they share: a rare one, or a frequent one that could be the first of all that they share. What stands before the first one in either set is not shared."""
+    n, m, p, q = (F.col(f"{t}.{c}") for c in ("n", "place") for t in (x, y))
+    return _sizes_fit(n, m) & (~F.col(f"{x}.late") | (F.least(n - p, m - q) >= _overlap(n, m)))
+
+
+def _compare(docs: DataFrame, pairs: DataFrame, frequent) -> DataFrame:
     """``a, b, shared, n, m`` of the pairs (a, b) that share prefix tokens under the further orders: size of the intersection and of both sets.
 
     The smaller side's sets go to tasks of about HUB_ROWS partners; each set
@@ -181,7 +219,7 @@ def _compare(docs: DataFrame, pairs: DataFrame, late) -> DataFrame:
     dealt = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("c") / HUB_ROWS))).cast("int").alias("salt"))
     needs = dealt.select(F.col("b").alias("doc"), "a", "salt", F.lit(1).alias("side")).unionByName(dealt.select(F.col("a").alias("doc"), "a", "salt", F.lit(0).alias("side")).distinct())
     needs = needs.groupBy("doc").agg(F.collect_list(F.struct("a", "salt", "side")).alias("to"))
-    texts = docs.join(needs, "doc").select("doc", "text", "to")
+    texts = docs.join(needs.hint("merge"), "doc").select("doc", "text", "to")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,16 +229,16 @@ def _compare(docs: DataFrame, pairs: DataFrame, late) -> DataFrame:
                 cols = list(zip(*rows[at : at + 2000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], ["b", "a", "salt", "side", "set"])
 
-    sent = texts.mapInArrow(send, "b long, a long, salt int, side int, set binary")
+    sent = texts.mapInArrow(W.frugal(send), "b long, a long, salt int, side int, set binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "side")
 
-    def prefixes(code: np.ndarray, known: np.ndarray) -> list[np.ndarray]:
-        far, p = _in(_fingerprints(code), known), prefix_length(len(code))
-        return [np.sort(np.partition(_order(code, far, seed), p - 1)[:p]) for seed in ORDERS]
+    def prefixes(code: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        p = prefix_length(len(code))
+        return [np.partition(_order(code, known, seed), p - 1)[:p] for seed in ORDERS]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, here, hubs, seen = late.value, None, [], set()
+        known, here, hubs, seen = frequent.value, None, [], set()
         for batch in batches:
             out: list[tuple[int, int, int, int, int]] = []
             for a, b, salt, side, packed in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["salt"].to_pylist(), batch["side"].to_pylist(), batch["set"], strict=True):
@@ -216,12 +254,12 @@ def _compare(docs: DataFrame, pairs: DataFrame, late) -> DataFrame:
                     continue
                 own = prefixes(code, known)
                 for hub, theirs in hubs:
-                    if all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(own, theirs, strict=True)):
+                    if all(len(np.intersect1d(x, y)) for x, y in zip(own, theirs, strict=True)):
                         out.append((a, b, int(_in(code, hub).sum()), len(hub), len(code)))
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "shared", "n", "m"])
 
-    return sent.select("a", "b", "salt", "side", "set").mapInArrow(meet, "a long, b long, shared long, n long, m long")
+    return sent.select("a", "b", "salt", "side", "set").mapInArrow(W.frugal(meet), "a long, b long, shared long, n long, m long")
 
 
 LINKED = f"100 * shared >= {PERCENT} * (n + m - shared)"
@@ -243,42 +281,77 @@ def link(docs: DataFrame) -> DataFrame:
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sets = scratch.keep(_classes(own))
     tokens = sets.agg(F.sum("n")).first()[0] or 0
-    late = spark.sparkContext.broadcast(_frequent(own, tokens))  # at most MOST_FREQUENT numbers
+    frequent = spark.sparkContext.broadcast(_frequent(own, tokens))  # at most MOST_FREQUENT numbers and their counts
+    scratch.tidy()
     classes = scratch.keep(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("node")))
     member = scratch.keep(sets.where("n > 0").join(classes, ["k1", "k2", "n"]).select("doc", "node", "n").distinct())
-    posted = scratch.keep(_postings(own, late))
+    posted = scratch.keep(_postings(own, frequent))
     common = posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     met = posted.join(common.hint("shuffle_hash"), "token", "left_semi").withColumnRenamed("node", "doc")
-    met = scratch.keep(met.join(member, ["doc", "n"]).select("token", "node", "n").distinct())
+    met = scratch.keep(met.join(member, ["doc", "n"]).select("token", "late", "node", "n", "rare", "place").distinct())
     scratch.drop(posted)
-    hubs = met.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).where("hub <> hi").select("token", "hub")
+    # The node with the fewest rare tokens stands in the middle of its group. Some tokens of large groups have other hubs, by HUBS random orders.
+    order = F.pmod(F.xxhash64("token"), F.lit(2 * HUBS)).cast("int")
+    middle = F.shiftleft(F.col("rare").cast("long"), 40).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1)))
+    hubs = met.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c"), F.min_by("node", middle).alias("m"), F.min_by("node", F.xxhash64("node", order)).alias("r")).where("lo <> hi")
+    hubs = hubs.select("token", F.when((F.col("c") >= LARGE) & (order < HUBS), F.col("r")).otherwise(F.col("m")).alias("hub"))
     met = scratch.keep(met.join(hubs, "token"))
-    hub_size = met.where("node = hub").groupBy("token").agg(F.max("n").alias("most"), F.min("n").alias("least"))
-    star = met.where("node <> hub").join(hub_size, "token").where(_sizes_fit(F.col("n"), F.col("most")) | _sizes_fit(F.col("n"), F.col("least")))
-    star = scratch.keep(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    compared = scratch.keep(_compare(own, star, late))
+    x, y = met.alias("x"), met.where("node = hub").select("token", "n", "rare").alias("y")
+    star = x.where("node <> hub").join(y, F.col("x.token") == F.col("y.token")).where(_may_link("x", "y"))
+    star = scratch.keep(star.select(F.least("x.hub", "x.node").alias("a"), F.greatest("x.hub", "x.node").alias("b")).distinct())
+    compared = scratch.keep(_compare(own, star, frequent))
     links = compared.where(LINKED).select("a", "b")
     parts = scratch.keep(connected(links, scratch))
 
     # buckets whose classes are not connected yet
-    distance = compared.groupBy(F.col("a").alias("hub"), F.col("b").alias("node")).agg(F.when(F.count("*") == 1, F.min((F.col("n") + F.col("m") - 2 * F.col("shared")) / (F.col("n") + F.col("m") - F.col("shared")))).alias("d"))
+    apart = (F.col("n") + F.col("m") - 2 * F.col("shared")) / (F.col("n") + F.col("m") - F.col("shared"))
+    distance = compared.groupBy("a", "b").agg(F.when(F.count("*") == 1, F.min(apart)).alias("d"))
+    distance = distance.select(F.col("a").alias("hub"), F.col("b").alias("node"), "d").unionByName(distance.select(F.col("b").alias("hub"), F.col("a").alias("node"), "d"))
     open_ = met.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     mixed = open_.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
     open_ = open_.join(mixed, "token", "left_semi").join(distance, ["hub", "node"], "left")
-    open_ = scratch.keep(open_.select("token", "hub", "node", "n", "part", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d")))
+    open_ = scratch.keep(open_.select("token", "late", "node", "n", "rare", "place", "part", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d")))
     x, y = open_.alias("x"), open_.alias("y")
     near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _sizes_fit(F.col("x.n"), F.col("y.n")) & near)
-    # under the first order, a pair's common tokens up to where its shorter prefix ends are all posted
-    rest = rest.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("c"))
-    need = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _meet_here("x", "y") & near)
+    names = {"a": "x.node", "b": "y.node", "n": "x.n", "m": "y.n", "r": "x.rare", "q": "y.rare"}
+    rest = rest.groupBy(*[F.col(c).alias(k) for k, c in names.items()]).agg(F.count("*").alias("c"))
+    n, m, r, q = map(F.col, "nmrq")
     size = lambda n: n - F.ceil(PERCENT * n / 100) + 1
-    bound = F.least(need - F.col("n") + size(F.col("n")), need - F.col("m") + size(F.col("m")))
-    rest = rest.where(F.col("c") >= bound).select("a", "b").distinct().join(compared.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    more = scratch.keep(_compare(own, scratch.keep(rest), late).where(LINKED).select("a", "b"))
+    # Frequent tokens alone may link the two, or the number of rare ones that they share has a bound: by what frequent ones can add, or, where
+    # the shorter prefix ends with a rare token, by what follows it.
+    by_rare = _overlap(n, m) - F.least(n - r, m - q)
+    by_place = F.least(_overlap(n, m) - n + size(n), _overlap(n, m) - m + size(m))
+    need = F.when(by_rare <= 0, F.lit(1)).when((r >= size(n)) | (q >= size(m)), by_place).otherwise(by_rare)
+    rest = rest.where(F.col("c") >= need).select("a", "b").distinct().join(compared.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    more = scratch.keep(_compare(own, scratch.keep(rest), frequent).where(LINKED).select("a", "b"))
     # a document belongs to each class that one of its rows has
     copies = member.where("doc <> node").select(F.col("node").alias("a"), F.col("doc").alias("b"))
     final = connected(links.unionByName(more).unionByName(copies), scratch)
     out = sets.join(final.withColumnRenamed("node", "doc"), "doc", "left")
     back = lambda c: F.when(c == NO_ID, F.lit(None)).otherwise(c)
     return out.select(back(F.col("doc")).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("component", "doc")).cast("long").alias("component_id"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n, b.n AS m, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p WHERE 100 * c >= 80 * (n + m - c)
+), both_ways AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION SELECT b.y, r.root FROM reach r JOIN both_ways b ON b.x = r.node
+), c AS (
+  SELECT node, min(root) AS component_id FROM reach GROUP BY node
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM s JOIN c ON c.node = s.doc_id
+"""
