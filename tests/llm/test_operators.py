@@ -206,6 +206,22 @@ def test_jump_moves_only_into_new_shards():
         assert np.bincount(a, minlength=n).min() > 0.7 * len(keys) / n
 
 
+def test_jump_equals_the_plain_walk():
+    keys = np.array([0, 1, -1, 7, 2**62, -(2**63), 123456789])
+    for n in (1, 2, 3, 16, 1000):
+        expected = []
+        for state in W.mix(keys.view(np.uint64) + np.uint64(1)).tolist():
+            here, ahead = -1, 0
+            while ahead < n:
+                here = ahead
+                state = (state * sharding.LCG + 1) % 2**64
+                ahead = int((here + 1) * (float(1 << 31) / float((state >> 33) + 1)))
+            expected.append(here)
+        assert sharding.jump(keys, n).tolist() == expected
+    with pytest.raises(ValueError):
+        sharding.jump(keys, 0)
+
+
 def test_sharding(spark, docs, texts):
     rows = sharding.shard_digest(docs, 5).collect()
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
@@ -258,7 +274,7 @@ def near_family(seed=5):
 
 @pytest.mark.parametrize("frequent", [2, 32])
 def test_shingle_join(spark, texts, frequent, monkeypatch):
-    monkeypatch.setattr(shingle_join._frequent, "__defaults__", (shingle_join.COUNTED, frequent))
+    monkeypatch.setattr(shingle_join._frequent, "__defaults__", (frequent,))
     monkeypatch.setattr(shingle_join, "HUB_ROWS", 3)
     every = texts + near_family()
     sets, comp = brute_links(every)
