@@ -111,7 +111,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS
             code, number, _, key, borders = fingerprint(b["t"], min_words)
             yield pa.RecordBatch.from_arrays([b["__o"], b["__h"], _ragged(code.view(np.int64), borders, pa.int64()), _ragged(number, borders, pa.int32()), _ragged(key.view(np.int64), borders, pa.int64())], ["o", "h", "code", "number", "keys"])
 
-    lines = docs.select(*identity, value.alias("t")).mapInArrow(scan, "o long, h long, code array<long>, number array<int>, keys array<long>")
+    lines = docs.select(*identity, value.alias("t")).mapInArrow(W.frugal(scan), "o long, h long, code array<long>, number array<int>, keys array<long>")
     lines = scratch.keep(lines)
     windows = lines.select("o", "h", F.posexplode("keys").alias("p", "key")).where("key <> 0")
     firsts = windows.groupBy("key").agg(F.min(F.struct("o", "h", "p")).alias("f"), F.max(F.struct("o", "h", "p")).alias("l")).where("f <> l").select("key", "f")
@@ -128,7 +128,7 @@ def drop_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS
                 rows.append([(number[x], number[y - 1]) for x, y in extend(code, first, [(a["p"], a["q"]) for a in anchors])])
             yield pa.RecordBatch.from_arrays([b["o"], b["h"], pa.array([[{"a": x, "b": y} for x, y in r] for r in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["o", "h", "cut"])
 
-    cuts = whole.select("o", "h", "code", "number", "first", "anchors").mapInArrow(match, "o long, h long, cut array<struct<a:int,b:int>>")
+    cuts = whole.select("o", "h", "code", "number", "first", "anchors").mapInArrow(W.frugal(match), "o long, h long, cut array<struct<a:int,b:int>>")
     cuts = cuts.groupBy(F.col("o").alias("__o"), F.col("h").alias("__h")).agg(F.sort_array(F.flatten(F.collect_list("cut"))).alias("__cut"))
     # ranges that overlap or touch become one
     merged = F.aggregate(
