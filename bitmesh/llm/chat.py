@@ -2,48 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitmesh.llm.frames import once
+from bitmesh.llm.frames import Scratch, once
 
 #: The template's marks (fixed values). A mark inside a text is escaped.
 SYSTEM, ASSISTANT, USER, END = "<|system|>", "<|assistant|>", "<|user name=%s|>", "<|end|>"
-#: A longer dialogue is rendered in consecutive segments, so that no task holds an unbounded one.
+#: Turns of one segment. A dialogue with more is rendered in consecutive segments, so that no task holds an unbounded one.
 SEGMENT_TURNS = 1024
-#: Rows of one segment at most; only turn numbers that repeat thousands of times exceed it, and their rows go to further parts.
+#: Rows of one part of a segment; only turn numbers that repeat thousands of times need a second part.
 PART_ROWS = 4096
+#: Characters of a text by which long dialogues are dealt into ranges; the order within a range is by whole texts.
+RANGE_CHARS = 64
+
+
+def _cut(rows: DataFrame, segment_turns: int, part_rows: int, scratch: Scratch) -> DataFrame:
+    """``conv_id, segment, part, participant, turns`` of dialogues of any length, by ranks in the order of turns.
+
+    Equal rows are counted and stand as one. The ranks within ranges of the
+    order meet the counts of the ranges before, so that no task holds a
+    dialogue, a turn number or copies of a row.
+    """
+    order = ["turn", "role", "text"]
+    distinct = rows.groupBy("conv_id", *order).agg(F.count("*").alias("c"))
+    ranges = distinct.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, RANGE_CHARS)).withColumn("slice", F.spark_partition_id())
+    ranges = scratch.keep(ranges)
+    within = Window.partitionBy("slice", "conv_id").orderBy(*order)
+    local = ranges.withColumn("end", F.sum("c").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    local = scratch.keep(local.withColumn("nth", F.dense_rank().over(Window.partitionBy("slice", "conv_id").orderBy("turn"))))
+    slices = local.groupBy("slice", "conv_id").agg(F.sum("c").alias("c"), F.max("nth").alias("d"), F.min_by(F.struct("turn"), "nth").alias("first"), F.max_by(F.struct("turn"), "nth").alias("last"))
+    by = Window.partitionBy("conv_id").orderBy("slice")
+    goes_on = F.coalesce(F.col("first").eqNullSafe(F.lag("last").over(by)) & (F.row_number().over(by) > 1), F.lit(False))
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("on", goes_on.cast("long")).select("slice", "conv_id", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("rows"), (F.coalesce(F.sum("d").over(before), F.lit(0)) - F.sum("on").over(by.rowsBetween(Window.unboundedPreceding, 0))).alias("turns"))
+    same = lambda a, b, *keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    placed = local.alias("x").join(slices.alias("y"), same("x", "y", "slice", "conv_id")).select(
+        "x.conv_id", *order, "x.c", (F.col("rows") + F.col("end") - F.col("x.c")).alias("at"), F.floor((F.col("turns") + F.col("nth") - 1) / segment_turns).cast("long").alias("segment")
+    )
+    starts = placed.groupBy("conv_id", "segment").agg(F.min("at").alias("start"))
+    placed = placed.alias("x").join(starts.alias("y"), same("x", "y", "conv_id", "segment")).select("x.conv_id", "x.segment", *order, "c", (F.col("at") - F.col("start")).alias("at"))
+    parts = placed.select("*", F.explode(F.sequence(F.floor(F.col("at") / part_rows), F.floor((F.col("at") + F.col("c") - 1) / part_rows))).alias("part"))
+    copies = F.least(F.col("at") + F.col("c"), (F.col("part") + 1) * part_rows) - F.greatest("at", F.col("part") * part_rows)
+    whole = parts.groupBy("conv_id", "segment", "part").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.struct(*order), copies.cast("int"))))).alias("turns"))
+    whole = scratch.keep(whole)
+    speakers = rows.where("role <> 'system'").select("conv_id", F.col("role").alias("participant")).distinct()
+    keys = whole.select("conv_id", "segment", "part").alias("x").join(speakers.alias("y"), same("x", "y", "conv_id"), "left").select("x.*", "participant")
+    return whole.alias("x").join(keys.alias("y"), same("x", "y", "conv_id", "segment", "part")).select("x.conv_id", "x.segment", "x.part", "participant", "turns")
 
 
 def rotate(turns: DataFrame, segment_turns: int = SEGMENT_TURNS, part_rows: int = PART_ROWS) -> DataFrame:
-    """One row for each dialogue (or segment of one) and each participant: ``conv_id, segment, part, participant, n_turns, text, masks, n_mask_chars``.
+    """One row for each dialogue (or part of one) and each participant: ``conv_id, segment, part, participant, n_turns, text, masks, n_mask_chars``.
 
     The participant's turns are the assistant's, all others are users with
     their names, and system turns stay. ``masks`` are the code point ranges
     start:end (end exclusive) that the assistant writes: its texts with their
     end marks.
 
-    Turns are ordered by number, role and text, null numbers first. Null
-    roles are the speaker "unknown", null texts are empty, rows without
-    conv_id form one dialogue. Repeated rows are rendered each. A dialogue of
-    system turns alone gives one row without participant and masks. Empty
-    tables give no rows; other columns are ignored.
+    Turns are ordered by number, role and text, null numbers first. Segments
+    hold segment_turns different turn numbers in this order and parts of them
+    part_rows rows, so that a dialogue's parts one after the other are the
+    dialogue; every participant of the dialogue gets all of them, those where
+    it is silent too. Null roles are the speaker "unknown", null texts are
+    empty, rows without conv_id form one dialogue. Repeated rows are rendered
+    each. A dialogue of system turns alone gives one row for each part without
+    participant and masks. Empty tables give no rows; other columns are
+    ignored.
     """
+    scratch = Scratch(turns.sparkSession)
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.floor(F.coalesce(F.col("turn"), F.lit(0)) / segment_turns).cast("long").alias("segment"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("<\\|")).alias("text"),
     )
-    crowded = rows.groupBy("conv_id", "segment").agg(F.count("*").alias("c")).where(F.col("c") > part_rows)
-    x, y = rows.alias("x"), crowded.alias("y")
-    rows = x.join(y, F.col("x.conv_id").eqNullSafe(F.col("y.conv_id")) & F.col("x.segment").eqNullSafe(F.col("y.segment")), "left")
-    part = F.coalesce(F.pmod(F.xxhash64("x.turn", "x.role", "x.text"), F.ceil(F.col("y.c") / part_rows)), F.lit(0)).cast("long")
-    rows = rows.select("x.*", part.alias("part"))
-    whole = rows.groupBy("conv_id", "segment", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    # what has no more rows than this is its own only part
+    long_ = scratch.keep(rows.groupBy("conv_id").agg(F.count("*").alias("c")).where(F.col("c") > min(segment_turns, part_rows)).select("conv_id"))
+    some = not long_.isEmpty()
+    x, y = rows.alias("x"), long_.alias("y")
+    among = F.col("x.conv_id").eqNullSafe(F.col("y.conv_id"))
+    short = x.join(y, among, "left_anti") if some else rows
+    whole = short.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     speakers = F.array_sort(F.array_distinct(F.transform(F.filter("turns", lambda t: t["role"] != "system"), lambda t: t["role"])))
-    views = whole.select("*", F.explode_outer(speakers).alias("participant"))
+    views = whole.select("conv_id", F.lit(0).cast("long").alias("segment"), F.lit(0).cast("long").alias("part"), F.explode_outer(speakers).alias("participant"), "turns")
+    if some:
+        views = views.unionByName(_cut(x.join(y, among, "left_semi"), segment_turns, part_rows, scratch))
     own = lambda t: F.coalesce((t["role"] == F.col("participant")) & (t["role"] != "system"), F.lit(False))
 
     def head(t):

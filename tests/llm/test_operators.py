@@ -368,6 +368,30 @@ def test_long_dialogues_come_in_segments(spark):
     assert sum(r["n_turns"] for r in tied if r["participant"] == "a") == 2500 and len({r["part"] for r in tied}) == 5
 
 
+@pytest.mark.parametrize(("segment_turns", "part_rows"), [(1024, 4096), (7, 5), (7, 40)])
+def test_every_participant_gets_the_whole_dialogue(spark, segment_turns, part_rows):
+    rng = random.Random(3)
+    rows = [(1, 1000 * i, "early" if i < 100 else "late", f"t{i}") for i in range(1100)]  # sparse numbers, a speaker who falls silent
+    rows += [(None, rng.choice([None, -3, 4, 5, 6000]), rng.choice(["ann", "bob", "system", None]), f"n{rng.randint(0, 3000)}") for _ in range(4500)]
+    rows += [(None, 5, "ann", "copy")] * 4200 + [(2, 0, "system", "alone")] * 1100 + [(3, 0, "ann", "short"), (3, 1, "bob", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {}
+    for r in chat.rotate(df, segment_turns, part_rows).collect():
+        got.setdefault((r["conv_id"], r["participant"]), {})[r["segment"], r["part"]] = r
+    speakers = {1: ["early", "late"], None: ["ann", "bob", "unknown"], 2: [None], 3: ["ann", "bob"]}
+    assert set(got) == {(c, p) for c in speakers for p in speakers[c]}
+    for (conv, who), parts in got.items():
+        mine = sorted(((t is not None, t or 0, r or "unknown", x) for c, t, r, x in rows if c == conv))
+        heads = {r: "<|system|>" if r == "system" else "<|assistant|>" if r == who else f"<|user name={r}|>" for _, _, r, _ in mine}
+        at = [parts[k] for k in sorted(parts)]
+        assert "".join(r["text"] for r in at) == "".join(f"{heads[r]}\n{x}\n<|end|>\n" for _, _, r, x in mine)
+        assert sum(r["n_mask_chars"] for r in at) == sum(len(x) + 8 for _, _, r, x in mine if r == who and r != "system")
+        assert all(r["n_turns"] <= part_rows for r in at)
+        turns = sorted({m[:2] for m in mine})
+        rank = Counter(turns.index(m[:2]) // segment_turns for m in mine)
+        assert sorted((r["segment"], r["part"], r["n_turns"]) for r in at) == [(s, p, min(part_rows, rank[s] - p * part_rows)) for s in sorted(rank) for p in range(-(-rank[s] // part_rows))]
+
+
 # 6: url rules ---------------------------------------------------------------
 
 
