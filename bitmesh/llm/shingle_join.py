@@ -6,7 +6,8 @@ first n - ceil(t * n) + 1 tokens, under every global order of the tokens. The
 orders here sort frequent tokens last, by their counts, and the others by
 independent hashes.
 
-1. Documents with equal sets form a class; its smallest doc_id stands for it.
+1. Documents with equal sets form a class; its smallest row key stands for it. The
+   key is the doc_id, or a hash of doc_id and text if an id is null or repeated.
 2. Frequent tokens are found by counting token fingerprints over all texts.
 3. Each class posts its prefix under the first order. One of every token's
    classes is the hub, and the others are compared with it: a star, not all
@@ -47,7 +48,6 @@ HUB_ROWS = 1000
 HUBS, LARGE = 8, 16
 #: Seeds of the orders after the first (fixed values).
 ORDERS = (0x51ED270B27B5A3C5, 0x2545F4914F6CDD1D)
-NO_ID = 2**63 - 1
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -67,7 +67,7 @@ def _fingerprints(code: np.ndarray) -> np.ndarray:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """``doc, n, k1, k2``: each document's set size and a 128-bit hash of its set."""
+    """``doc, id, n, k1, k2``: each document's set size and a 128-bit hash of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,9 +76,9 @@ def _classes(docs: DataFrame) -> DataFrame:
             for salt in (1, 2):
                 total = np.r_[W.U64(0), np.cumsum(W.mix(code + W.U64(salt)))]
                 sums.append(pa.array((total[borders[1:]] - total[borders[:-1]]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b["doc"], pa.array(np.diff(borders)), *sums], ["doc", "n", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([b["doc"], b["id"], pa.array(np.diff(borders)), *sums], ["doc", "id", "n", "k1", "k2"])
 
-    return docs.mapInArrow(W.frugal(run), "doc long, n long, k1 long, k2 long")
+    return docs.mapInArrow(W.frugal(run), "doc long, id long, n long, k1 long, k2 long")
 
 
 def _frequent(docs: DataFrame, tokens: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -265,21 +265,45 @@ def _compare(docs: DataFrame, pairs: DataFrame, frequent) -> DataFrame:
 LINKED = f"100 * shared >= {PERCENT} * (n + m - shared)"
 
 
+def row_key(docs: DataFrame) -> tuple[Column, bool]:
+    """What tells rows with different ids or texts apart, and whether any doc_id is null or repeated."""
+    doc_id = F.col("doc_id").cast("long")
+    shared = not docs.select(doc_id.alias("id")).groupBy("id").agg(F.count("*").alias("c")).where("id IS NULL OR c > 1").isEmpty()
+    return (F.xxhash64(doc_id, F.coalesce(F.col("text").cast("string"), F.lit(""))) if shared else doc_id), shared
+
+
 def link(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each document.
 
     component_id is the smallest doc_id that links reach. A null or empty text
     has no shingles and is linked with nothing; its component is itself. Rows
-    that share a doc_id count as one document that has each of their links;
-    rows with a null doc_id count as one whose id is larger than all others,
-    and shows as null. An empty table gives no rows; other columns are
-    ignored.
+    that share a doc_id count as one document that has each of their links.
+    Rows with a null doc_id have the links of their own text alone; a
+    component without any doc_id shows as null. An empty table gives no rows;
+    other columns are ignored.
     """
+    key, shared = row_key(docs)
+    scratch = Scratch(docs.sparkSession)
+    out = _reach(docs, key, scratch, by_id=shared)
+    label = F.col("component")
+    if shared:
+        out = scratch.keep(out)
+        out = out.join(out.groupBy("component").agg(F.min("doc_id").alias("label")), "component")
+        label = F.col("label")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"))
+
+
+def link_rows(docs: DataFrame, key: Column) -> DataFrame:
+    """``row, doc_id, n, component`` by the texts of rows alone, whatever ids they share: ``row`` is the key of row_key, ``component`` the smallest one that links reach."""
+    return _reach(docs, key, Scratch(docs.sparkSession), by_id=False)
+
+
+def _reach(docs: DataFrame, key: Column, scratch: Scratch, by_id: bool) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
-    scratch = Scratch(spark)
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sets = scratch.keep(_classes(own))
+    every = docs.select(key.alias("doc"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = every.select("doc", "text")
+    sets = scratch.keep(_classes(every))
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     frequent = spark.sparkContext.broadcast(_frequent(own, tokens))  # at most MOST_FREQUENT numbers and their counts
     scratch.tidy()
@@ -325,12 +349,13 @@ def link(docs: DataFrame) -> DataFrame:
     need = F.when(by_rare <= 0, F.lit(1)).when((r >= size(n)) | (q >= size(m)), by_place).otherwise(by_rare)
     rest = rest.where(F.col("c") >= need).select("a", "b").distinct().join(compared.select("a", "b").distinct(), ["a", "b"], "left_anti")
     more = scratch.keep(_compare(own, scratch.keep(rest), frequent).where(LINKED).select("a", "b"))
-    # a document belongs to each class that one of its rows has
     copies = member.where("doc <> node").select(F.col("node").alias("a"), F.col("doc").alias("b"))
-    final = connected(links.unionByName(more).unionByName(copies), scratch)
-    out = sets.join(final.withColumnRenamed("node", "doc"), "doc", "left")
-    back = lambda c: F.when(c == NO_ID, F.lit(None)).otherwise(c)
-    return out.select(back(F.col("doc")).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("component", "doc")).cast("long").alias("component_id"))
+    edges = links.unionByName(more).unionByName(copies)
+    if by_id:
+        rows = sets.where("id IS NOT NULL").select("id", "doc").distinct()
+        edges = edges.unionByName(rows.join(rows.groupBy("id").agg(F.min("doc").alias("a")), "id").where("doc <> a").select("a", F.col("doc").alias("b")))
+    out = sets.join(connected(edges, scratch).withColumnRenamed("node", "doc"), "doc", "left")
+    return out.select(F.col("doc").alias("row"), F.col("id").alias("doc_id"), "n", F.coalesce("component", "doc").alias("component"))
 
 
 SQL = r"""

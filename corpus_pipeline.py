@@ -6,7 +6,7 @@ the last return them. A stage works on all rows that its predecessor kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitmesh.llm import decontaminate, line_dedup, quality, shingle_join
@@ -33,14 +33,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest doc_id stays; of rows that share a doc_id, one."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(shingle_join.NO_ID))
-    linked = shingle_join.link(docs)
-    stay = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
+    """Of each component of similar texts the row with the smallest doc_id stays, whatever ids rows share; null ids come last."""
+    key, shared = shingle_join.row_key(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    stay = shingle_join.link_rows(docs, key).groupBy("component").agg(first.alias("first")).select(F.col("first.row").alias("__key"))
     rows = docs.withColumn("__key", key).join(stay, "__key", "left_semi")
-    # without a doc_id, rows are told apart by their texts
-    one = Window.partitionBy("__key", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
-    return rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*COLUMNS)
+    if shared:  # rows with the same id and text
+        rows = rows.groupBy("__key").agg(F.min(F.struct(*COLUMNS)).alias("__row")).select("__row.*")
+    return rows.select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

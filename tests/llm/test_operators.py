@@ -293,6 +293,12 @@ def test_shingle_join_edges(spark):
     assert got == {(7, 26, 3), (7, 1, 3), (3, 26, 3), (9, 1, 3), (None, 26, 3)}
 
 
+def test_null_ids_link_nothing_but_their_own_texts(spark):
+    a, b, lone = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(3, a), (900, b), (None, a), (None, b), (None, lone), (None, lone + " more"), (-5, "apart")]
+    assert {tuple(r) for r in shingle_join.link(spark.createDataFrame(rows, DOCS)).collect()} == {(3, 26, 3), (900, 26, 900), (None, 26, 3), (None, 26, 900), (None, 26, None), (None, 27, None), (-5, 1, -5)}
+
+
 def test_components(spark):
     rng = random.Random(1)
     chain = [(i, i + 1) for i in range(40)]

@@ -120,6 +120,27 @@ def test_stages_equal_plain_versions(spark, tables):
     assert sorted(map(tuple, whole), key=str) == sorted(map(tuple, pieces), key=str)
 
 
+def test_near_duplicates_keep_a_row_of_every_component_of_texts(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(3, a), (900, b), (None, a), (None, b), (None, c), (None, c), (None, c + " more"), (7, d), (7, e), (7, e), (8, e + " more"), (None, ""), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    kept = [(r["doc_id"], r["text"]) for r in got]
+    assert len(kept) == len(set(kept)) == 7 and all(r["lang"] == "en" and r["n_chars"] == len(r["text"]) for r in got)
+    assert {(3, a), (900, b), (7, d), (7, e), (None, ""), (9, "")} < set(kept)
+    assert len({(None, c), (None, c + " more")} & set(kept)) == 1
+
+
+def test_near_duplicates_of_shared_ids_equal_plain_components(spark):
+    texts = some_texts(40) + near_family()
+    ids = [None if i % 3 == 0 else 5 if i % 3 == 1 else i for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r["text"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    sets, comp = brute_links(texts)
+    of = {t: c for t, c in zip(texts, comp, strict=True)}
+    assert sorted(of[t] for t in kept if t in of and sets[of[t]]) == sorted({c for c in comp if sets[c]})
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
