@@ -95,19 +95,23 @@ class MergeCounter:
         pieces: list[str] = []
         of: list[np.ndarray] = []
         owner = np.asarray(owner, np.int64)
-        for at in range(0, len(parts), 512):
-            some = parts[at : at + 512]
-            joined = "\n".join(some)
-            if len(joined.split()) == len(some):
-                found = self.split.pre_tokenize_str(text := self.normal.normalize_str(joined))
-                blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 0x20)
-                of.append(at + np.searchsorted(blanks, [p[1][0] for p in found]))
-                pieces += [p[0] for p in found]
-            else:  # other white space inside a word
-                for k, w in enumerate(some):
-                    found = self.split.pre_tokenize_str(self.normal.normalize_str(w))
-                    of.append(np.full(len(found), at + k))
-                    pieces += [p[0] for p in found]
+        # words without any white space are told apart by the blanks between them; one that has some, at its edges too, is taken by itself
+        plain = [i for i, w in enumerate(parts) if w.split() == [w]]
+        alone = sorted(set(range(len(parts))) - set(plain))
+        for at in range(0, len(plain), 512):
+            some = plain[at : at + 512]
+            text = self.normal.normalize_str("\n".join([parts[i] for i in some]))
+            blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 0x20)
+            if len(blanks) != len(some) - 1 or text[:1] == " ":  # the normaliser has made or taken away blanks
+                alone += some
+                continue
+            found = self.split.pre_tokenize_str(text)
+            of.append(np.array(some)[np.searchsorted(blanks, [p[1][0] for p in found])])
+            pieces += [p[0] for p in found]
+        for i in alone:
+            found = self.split.pre_tokenize_str(self.normal.normalize_str(parts[i]))
+            of.append(np.full(len(found), i))
+            pieces += [p[0] for p in found]
         if pieces:
             codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
             borders = np.r_[0, np.cumsum([len(p) for p in pieces])]

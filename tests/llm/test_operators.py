@@ -142,6 +142,27 @@ def test_tokens_of_any_text(found):
     assert [all_ids[a:b].tolist() for a, b in zip(borders, borders[1:])] == [[*e, 2] for e in expected]
 
 
+BLANKS = ["\u00a0", "\u0085", "\u2003", "\u2028", "\u3000", "\x1c", "\ufeff"]
+
+
+@pytest.mark.parametrize("blank", BLANKS)
+def test_white_space_in_words_keeps_owners(tokenizer, blank):
+    """Other white space at the start, inside and at the end of words, in the first, a middle and the last group of new words and at their borders."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 12))) + str(i) for i in range(1500)]
+    for at in (0, 1, 511, 512, 513, 700, 1023, 1024, 1498, 1499):
+        words[at] = rng.choice(["{0}{1}", "{1}{0}{1}", "{1}{0}", "{0}{1}{0}", "{0}"]).format(blank, words[at])
+    counts = tokens.MergeCounter(public_tokenizers.path(tokens.VOCABULARY)).count(words)
+    assert counts.tolist() == [len(encoded(tokenizer, w)) for w in words]
+
+
+@pytest.mark.parametrize("blank", BLANKS)
+def test_documents_with_other_white_space(spark, tokenizer, blank):
+    texts = [f"{blank}quite new{i} words{i * 7} of{blank}{i} end{blank}" for i in range(600)] + [blank, blank * 3, f"{blank}one"]
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(frame(spark, texts)).collect()}
+    assert got == {i: len(encoded(tokenizer, t)) for i, t in enumerate(texts)}
+
+
 def test_store_may_be_emptied(texts, tokenizer, monkeypatch):
     monkeypatch.setattr(tokens, "STORE_WORDS", 10)
     store = tokens.IdStore(public_tokenizers.path(tokens.VOCABULARY), 2)
