@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -585,6 +586,60 @@ def test_line_dedup_finds_passages_and_leaves_the_rest(spark):
     assert all(got[i] == f"Own {i} text.\nEnd {i}." for i in range(3, 40, 2))
 
 
+def test_winnowing_posts_selected_minima_only():
+    rng = random.Random(21)
+    texts = ["\n".join(" ".join(f"{i}w{rng.randint(0, 9999)}" for _ in range(rng.randint(3, 12))) for _ in range(400)) for i in range(5)]
+    code, _, key, place, borders = line_dedup.fingerprint(pa.array(texts, pa.string()))
+    text, at, mark, first, last = line_dedup._postings(borders, key, place, code)
+    windows = np.count_nonzero(key)
+    assert windows > 1900 and len(mark) < 0.45 * windows and (last - first).sum() == windows
+    for t, m, g, a, b in zip(text, at, mark, first, last):
+        lines = code[borders[t] : borders[t + 1]]
+        assert lines[m] == g
+        for p in range(a - borders[t], b - borders[t]):
+            words, e = 0, p
+            while words < 50:
+                words += len(texts[t].split("\n")[e].split())
+                e += 1
+            assert p <= m < e and lines[p:e].min() == g and not (lines[m + 1 : e] == g).any()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=25), st.lists(st.integers(0, 2), max_size=25), st.data())
+def test_extension_of_many_anchors(later, first, data):
+    anchors = [(p, q) for p in range(len(later)) for q in range(len(first)) if later[p] == first[q]]
+    anchors = data.draw(st.lists(st.sampled_from(anchors), max_size=8)) if anchors else []
+    spread = lambda xs: W.mix(np.array(xs, np.uint64) + np.uint64(9)).view(np.int64)
+    start, end = line_dedup._extend(spread(later), spread(first), *(np.array([a[k] for a in anchors], np.int64) for k in (0, 1)))
+    expected = set()
+    for p, q in anchors:
+        a = b = 0
+        while p - a > 0 and q - a > 0 and later[p - a - 1] == first[q - a - 1]:
+            a += 1
+        while p + b < len(later) and q + b < len(first) and later[p + b] == first[q + b]:
+            b += 1
+        expected.update(range(p - a, p + b))
+    assert [x for a, b in zip(start, end) for x in range(a, b)] == sorted(expected)
+
+
+def test_line_dedup_of_one_line_repeated_100_000_times(spark):
+    n = 100_000
+    code = W.mix(np.zeros(n, np.uint64)).view(np.int64)
+    begun = time.perf_counter()
+    start, end = line_dedup._extend(code, code, np.arange(1, n), np.zeros(n - 1, np.int64))
+    assert (start.tolist(), end.tolist()) == ([1], [n]) and time.perf_counter() - begun < 5
+    got = {r["doc_id"]: (r["n_dropped"], r["dropped"]) for r in line_dedup.drop_repeats(frame(spark, ["the same line again\n" * 20_000, "other\n" * 100, "x"])).collect()}
+    assert got == {0: (19_999, "1-19999"), 1: (99, "1-99"), 2: (0, "")}
+
+
+def test_line_dedup_deals_an_original_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LATER_TEXTS", 4)
+    passage = "\n".join(" ".join(f"p{i}q{j}" for j in range(20)) + "." for i in range(6))
+    texts = [f"Own {i}.\n{passage}\nEnd {i}." for i in range(60)] + ["lone words only"]
+    got = {r["doc_id"]: r["cleaned"] for r in line_dedup.drop_repeats(frame(spark, texts)).collect()}
+    assert got[0] == texts[0] and got[60] == texts[60] and all(got[i] == f"Own {i}.\nEnd {i}." for i in range(1, 60))
+
+
 def test_line_dedup_edges(spark):
     assert line_dedup.drop_repeats(empty(spark)).count() == 0
     rows = line_dedup.drop_repeats(clashing(spark)).collect()
