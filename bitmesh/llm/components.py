@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitmesh.llm.frames import Scratch
 
+#: Tasks over which the edges of one node are spread.
+SALTS = 64
+
+
+def _with_least(edges: DataFrame, key: str, other: str, least: Column) -> DataFrame:
+    """The edges with ``m``, the least of ``least`` over all edges of their ``key`` node.
+
+    Edges are dealt by (key, salt of the other end); each node's least number
+    goes back to the salts that it has. So a node with any number of edges
+    sends at most SALTS rows to one task, and its edges spread over as many.
+    """
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    each = salted.groupBy(key, "salt").agg(F.min(least).alias("m"))
+    whole = each.groupBy(key).agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    return salted.join(whole.select(key, "m", F.explode("salts").alias("salt")), [key, "salt"])
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node's larger neighbours are linked to its least neighbour (itself included)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+    found = _with_least(both, "a", "b", F.least("a", "b"))
+    return found.where("b > a AND m <> b").select(F.col("m").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are linked to the least of them; edges run from the smaller to the larger node."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    down = edges.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return down.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
+    found = _with_least(edges, "b", "a", F.col("a"))
+    down = found.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    return down.unionByName(found.select(F.col("m").alias("a"), "b")).distinct()
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:

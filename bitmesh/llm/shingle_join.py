@@ -10,13 +10,19 @@ independent hashes.
    key is the doc_id, or a hash of doc_id and text if an id is null or repeated.
 2. Frequent tokens are found by counting token fingerprints over all texts.
 3. Each class posts its prefix under the first order. One of every token's
-   classes is the hub, and the others are compared with it: a star, not all
+   classes is the hub, and the others are candidates with it: a star, not all
    pairs. What links already connect needs no further look.
 4. Classes that share a posted token but no component yet are paired, but for
    those that sizes, counts of shared prefix tokens or the distances to their
    hub rule out (Jaccard distance is a metric).
-5. Every pair must share prefix tokens under the further orders too before its
-   sets are compared whole.
+5. A pair of step 3 or 4 stays a candidate if the prefixes under each further
+   order meet too. For that only 32-bit marks of these prefixes travel, a fifth
+   of what the sets would take; a chance equality of marks costs a comparison,
+   never a pair.
+6. The sets of what is left are compared whole.
+
+A hub goes to one task for about HUB_ROWS of its partners, and every set is
+streamed, so neither a large group nor a long text fills a worker.
 
 No step drops a pair with a similarity of t or more: pairs are left out only
 if they are connected already or if a bound excludes them.
@@ -44,6 +50,8 @@ MOST_FREQUENT = 1 << 20
 COUNT_BYTES = 12 << 20
 #: Classes that are compared with a hub in one task at about.
 HUB_ROWS = 1000
+#: Tasks that one document's partners of the last step are dealt to.
+REST_SALTS = 8
 #: Random hubs of a large group at most, and nodes that make a bucket large.
 HUBS, LARGE = 8, 16
 #: Seeds of the orders after the first (fixed values).
@@ -158,8 +166,25 @@ def _order(code: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], seed: int)
     return key
 
 
+def _marks(code: np.ndarray, borders: np.ndarray, frequent, seed: int) -> pa.Array:
+    """32-bit marks of each set's prefix under a further order, as lists."""
+    n = np.diff(borders)
+    text = np.repeat(np.arange(len(n)), n)
+    key = _order(code, frequent, seed)
+    order = np.lexsort((key, text))
+    place = np.arange(len(order)) - np.repeat(borders[:-1], n)
+    mine = order[place < np.repeat(prefix_length(n), n)]
+    marks = (W.mix(code[mine] ^ W.U64(seed)) >> W.U64(32)).astype(np.uint32).view(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, prefix_length(n), 0))], pa.int32()), pa.array(marks))
+
+
 def _postings(docs: DataFrame, frequent) -> DataFrame:
-    """``token, late, node, n, rare, place``: the prefix of each text under the first order, with the set's size, how many of its tokens are rare, and the token's place."""
+    """``token, late, node, n, rare, place``: the prefix of each text under the first order, with the set's size, how many of its tokens are rare, and the token's place.
+
+    One more row for each text, without a token, has ``p1, p2``: the marks of its prefixes under the further orders.
+    """
+    names = ["token", "late", "node", "n", "rare", "place", "p1", "p2"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,9 +202,11 @@ def _postings(docs: DataFrame, frequent) -> DataFrame:
             mine = order[place < np.repeat(prefix_length(n), n)]
             rare = n - np.bincount(text[late], minlength=len(n))
             columns = [pa.array(code[mine].view(np.int64)), pa.array(late[mine]), b["doc"].take(pa.array(text[mine])), pa.array(n[text[mine]].astype(np.int32)), pa.array(rare[text[mine]].astype(np.int32)), pa.array(place[place < np.repeat(prefix_length(n), n)].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "late", "node", "n", "rare", "place"])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(mine), k) for k in kinds[6:])], names)
+            marks = [_marks(code, borders, frequent.value, seed) for seed in ORDERS]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), kinds[0]), pa.nulls(len(n), kinds[1]), b["doc"], *(pa.nulls(len(n), k) for k in kinds[3:6]), *marks], names)
 
-    return docs.mapInArrow(W.frugal(run), "token long, late boolean, node long, n int, rare int, place int")
+    return docs.mapInArrow(W.frugal(run), "token long, late boolean, node long, n int, rare int, place int, p1 array<int>, p2 array<int>")
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:
@@ -209,57 +236,58 @@ def _meet_here(x: str, y: str) -> Column:
     return _sizes_fit(n, m) & (~F.col(f"{x}.late") | (F.least(n - p, m - q) >= _overlap(n, m)))
 
 
-def _compare(docs: DataFrame, pairs: DataFrame, frequent) -> DataFrame:
-    """``a, b, shared, n, m`` of the pairs (a, b) that share prefix tokens under the further orders: size of the intersection and of both sets.
+def _candidates(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Those of the pairs ``hub, node, salt`` whose prefixes meet under every further order."""
+    hubs = pairs.select("hub", "salt").distinct().join(marks.select(F.col("doc").alias("hub"), F.col("p1").alias("q1"), F.col("p2").alias("q2")), "hub")
+    both = pairs.join(marks.withColumnRenamed("doc", "node"), "node").join(hubs, ["hub", "salt"])
+    return both.where(F.arrays_overlap("p1", "q1") & F.arrays_overlap("p2", "q2")).select("hub", "node", "salt")
 
-    The smaller side's sets go to tasks of about HUB_ROWS partners; each set
-    is made from its text and sent once for each task that needs it.
-    """
-    load = pairs.groupBy("a").agg(F.count("*").alias("c"))
-    dealt = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("c") / HUB_ROWS))).cast("int").alias("salt"))
-    needs = dealt.select(F.col("b").alias("doc"), "a", "salt", F.lit(1).alias("side")).unionByName(dealt.select(F.col("a").alias("doc"), "a", "salt", F.lit(0).alias("side")).distinct())
-    needs = needs.groupBy("doc").agg(F.collect_list(F.struct("a", "salt", "side")).alias("to"))
-    texts = docs.join(needs.hint("merge"), "doc").select("doc", "text", "to")
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            code, borders = W.shingles(W.scan(b["text"]), SHINGLE)
-            rows = [(d, t["a"], t["salt"], t["side"], code[x:y].tobytes()) for d, x, y, to in zip(b["doc"].to_pylist(), borders[:-1].tolist(), borders[1:].tolist(), b["to"].to_pylist(), strict=True) for t in to]
-            for at in range(0, len(rows), 2000):
-                cols = list(zip(*rows[at : at + 2000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], ["b", "a", "salt", "side", "set"])
+def _compare(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``hub, node, shared, n, m`` of the pairs ``hub, node, salt``: size of the intersection and of both sets.
 
-    sent = texts.mapInArrow(W.frugal(send), "b long, a long, salt int, side int, set binary")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = sent.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "side")
-
-    def prefixes(code: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-        p = prefix_length(len(code))
-        return [np.partition(_order(code, known, seed), p - 1)[:p] for seed in ORDERS]
+    A hub's set goes once to each of its salts, a node's set once to each of
+    its hubs. Rows go out one by one, so a worker holds a batch of sets and
+    the bytes of one message, however many tasks need a set.
+    """
+    needs = pairs.select(F.col("node").alias("doc"), "hub", "salt", F.lit(1).alias("side")).unionByName(pairs.select(F.col("hub").alias("doc"), "hub", "salt", F.lit(0).alias("side")).distinct())
+    sent = needs.join(sets, "doc").select("hub", "salt", "side", "doc", "set")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = sent.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "side", "doc")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, here, hubs, seen = frequent.value, None, [], set()
+        here, hub = None, np.zeros(0, np.uint64)
         for batch in batches:
             out: list[tuple[int, int, int, int, int]] = []
-            for a, b, salt, side, packed in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["salt"].to_pylist(), batch["side"].to_pylist(), batch["set"], strict=True):
+            for h, salt, side, doc, packed in zip(*(batch[c].to_pylist() for c in ("hub", "salt", "side", "doc")), batch["set"], strict=True):
                 code = np.frombuffer(packed.as_buffer(), np.uint64)
-                if here != (a, salt):
-                    here, hubs, seen = (a, salt), [], set()
-                mark = (b, hash(packed.as_py()))
-                if not len(code) or mark in seen:  # repeated rows of a document
-                    continue
                 if side == 0:
-                    seen.add(mark)
-                    hubs.append((code, prefixes(code, known)))
-                    continue
-                own = prefixes(code, known)
-                for hub, theirs in hubs:
-                    if all(len(np.intersect1d(x, y)) for x, y in zip(own, theirs, strict=True)):
-                        out.append((a, b, int(_in(code, hub).sum()), len(hub), len(code)))
+                    here, hub = (h, salt), code.copy()
+                elif here == (h, salt):
+                    out.append((h, doc, int(_in(code, hub).sum()), len(hub), len(code)))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "shared", "n", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["hub", "node", "shared", "n", "m"])
+
+    return sent.mapInArrow(W.frugal(meet), "hub long, node long, shared long, n long, m long")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``doc, set`` of the texts that ``nodes`` names: token hashes in order, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, borders = W.shingles(W.scan(b["text"]), SHINGLE)
+            raw = memoryview(code.tobytes())
+            yield pa.RecordBatch.from_arrays([b["doc"], pa.array([raw[8 * x : 8 * y] for x, y in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)], pa.binary())], ["doc", "set"])
+
+    return docs.join(nodes, "doc", "left_semi").mapInArrow(W.frugal(run), "doc long, set binary")
+
 
-    return sent.select("a", "b", "salt", "side", "set").mapInArrow(W.frugal(meet), "a long, b long, shared long, n long, m long")
+def _verify(docs: DataFrame, pairs: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
+    """Compares the pairs that are candidates under every further order too."""
+    pairs = scratch.keep(_candidates(pairs, marks))
+    nodes = scratch.keep(pairs.select(F.explode(F.array("hub", "node")).alias("doc")).distinct())
+    return _compare(_sets(docs, nodes), pairs)
 
 
 LINKED = f"100 * shared >= {PERCENT} * (n + m - shared)"
@@ -309,28 +337,31 @@ def _reach(docs: DataFrame, key: Column, scratch: Scratch, by_id: bool) -> DataF
     scratch.tidy()
     classes = scratch.keep(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("node")))
     member = scratch.keep(sets.where("n > 0").join(classes, ["k1", "k2", "n"]).select("doc", "node", "n").distinct())
-    posted = scratch.keep(_postings(own, frequent))
+    every_posted = scratch.keep(_postings(own, frequent))
+    posted = every_posted.where("token IS NOT NULL").drop("p1", "p2")
+    marks = every_posted.where("token IS NULL").select(F.col("node").alias("doc"), "p1", "p2")
     common = posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     met = posted.join(common.hint("shuffle_hash"), "token", "left_semi").withColumnRenamed("node", "doc")
     met = scratch.keep(met.join(member, ["doc", "n"]).select("token", "late", "node", "n", "rare", "place").distinct())
-    scratch.drop(posted)
     # The node with the fewest rare tokens stands in the middle of its group. Some tokens of large groups have other hubs, by HUBS random orders.
     order = F.pmod(F.xxhash64("token"), F.lit(2 * HUBS)).cast("int")
     middle = F.shiftleft(F.col("rare").cast("long"), 40).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1)))
     hubs = met.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c"), F.min_by("node", middle).alias("m"), F.min_by("node", F.xxhash64("node", order)).alias("r")).where("lo <> hi")
-    hubs = hubs.select("token", F.when((F.col("c") >= LARGE) & (order < HUBS), F.col("r")).otherwise(F.col("m")).alias("hub"))
+    hubs = hubs.select("token", "c", F.when((F.col("c") >= LARGE) & (order < HUBS), F.col("r")).otherwise(F.col("m")).alias("hub"))
     met = scratch.keep(met.join(hubs, "token"))
     x, y = met.alias("x"), met.where("node = hub").select("token", "n", "rare").alias("y")
-    star = x.where("node <> hub").join(y, F.col("x.token") == F.col("y.token")).where(_may_link("x", "y"))
-    star = scratch.keep(star.select(F.least("x.hub", "x.node").alias("a"), F.greatest("x.hub", "x.node").alias("b")).distinct())
-    compared = scratch.keep(_compare(own, star, frequent))
-    links = compared.where(LINKED).select("a", "b")
+    star = x.where("node <> hub").join(y, F.col("x.token") == F.col("y.token")).where(_may_link("x", "y")).select("x.hub", "x.node", "x.c")
+    # a pair that meets under several tokens is dealt by its larger bucket's hub, in as many salts as that bucket asks for
+    star = star.groupBy(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).agg(F.max(F.struct("c", "hub")).alias("h"))
+    salt = F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("h.c") / HUB_ROWS)).cast("int").alias("salt")
+    star = scratch.keep(star.select(F.col("h.hub").alias("hub"), F.when(F.col("a") == F.col("h.hub"), F.col("b")).otherwise(F.col("a")).alias("node"), salt))
+    compared = scratch.keep(_verify(own, star, marks, scratch))
+    links = compared.where(LINKED).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     parts = scratch.keep(connected(links, scratch))
 
     # buckets whose classes are not connected yet
     apart = (F.col("n") + F.col("m") - 2 * F.col("shared")) / (F.col("n") + F.col("m") - F.col("shared"))
-    distance = compared.groupBy("a", "b").agg(F.when(F.count("*") == 1, F.min(apart)).alias("d"))
-    distance = distance.select(F.col("a").alias("hub"), F.col("b").alias("node"), "d").unionByName(distance.select(F.col("b").alias("hub"), F.col("a").alias("node"), "d"))
+    distance = compared.select("hub", "node", apart.alias("d")).unionByName(compared.select(F.col("node").alias("hub"), F.col("hub").alias("node"), apart.alias("d")))
     open_ = met.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     mixed = open_.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
     open_ = open_.join(mixed, "token", "left_semi").join(distance, ["hub", "node"], "left")
@@ -347,8 +378,12 @@ def _reach(docs: DataFrame, key: Column, scratch: Scratch, by_id: bool) -> DataF
     by_rare = _overlap(n, m) - F.least(n - r, m - q)
     by_place = F.least(_overlap(n, m) - n + size(n), _overlap(n, m) - m + size(m))
     need = F.when(by_rare <= 0, F.lit(1)).when((r >= size(n)) | (q >= size(m)), by_place).otherwise(by_rare)
-    rest = rest.where(F.col("c") >= need).select("a", "b").distinct().join(compared.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    more = scratch.keep(_compare(own, scratch.keep(rest), frequent).where(LINKED).select("a", "b"))
+    # a pair of the star that is still apart has been compared or ruled out
+    seen = star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+    rest = rest.where(F.col("c") >= need).select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+    rest = scratch.keep(rest.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.lit(REST_SALTS)).cast("int").alias("salt")))
+    more = scratch.keep(_verify(own, rest, marks, scratch).where(LINKED).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    scratch.drop(every_posted)
     copies = member.where("doc <> node").select(F.col("node").alias("a"), F.col("doc").alias("b"))
     edges = links.unionByName(more).unionByName(copies)
     if by_id:
