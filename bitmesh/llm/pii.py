@@ -1,14 +1,17 @@
 r"""Personal data by weak supervision, in DataFrame functions only.
 
-Candidate spans come from four exact patterns (the base kinds) and two loose
-ones. Five labelers vote on each candidate: format, gazetteer, words before,
-words after, shape. Expectation maximisation over the counts of vote patterns
-estimates how reliable each labeler is, and a logistic span classifier is
-fitted to the posteriors. Base spans always stay; the classifier decides
-about the others.
-
-Only counts by vote pattern reach the driver: at most 3**5 patterns times 4
-length classes, however large the input.
+Candidate spans come from four exact patterns (the base kinds) and three wide
+ones that also take in much that is no personal data: numbers in groups, the
+near misses of the base kinds among them, long tokens of letters and digits,
+and pairs of capitalised words. Five labelers vote yes, no or nothing on each
+candidate: format, gazetteer, words before, what comes after, shape.
+Expectation maximisation over the counts of vote patterns estimates how
+reliable each labeler is and how frequent true spans are in each kind, and a
+logistic span classifier is fitted to the posteriors. Base spans always stay;
+the classifier decides about the others.
+
+Only counts by kind, vote pattern and length class reach the driver: at most
+7 * 3**5 * 4, however large the input.
 """
 
 from __future__ import annotations
@@ -21,18 +24,22 @@ from pyspark.sql import functions as F
 from bitmesh.llm.frames import Scratch, once
 
 #: Kinds in their order (fixed values). The first four are the base kinds.
-KINDS = ["email", "ip", "card", "phone", "id", "name"]
+KINDS = ["email", "ip", "card", "phone", "id", "secret", "name"]
 BASE = KINDS[:4]
 LOCAL = r"[A-Za-z0-9._%+-]"
+TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Señor|Señora)"
 #: The base patterns, in possessive form where a run can't be given back, so that no text makes them slow. \G lets a match begin right after the one before.
 PATTERNS = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "id": r"(?<![\p{L}0-9.,+-])[0-9]{2,6}+(?:[\x20-][0-9]{2,7}+){0,4}+(?![\p{L}0-9])",
-    "name": r"(?<!\p{L})(?=[A-Z])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Señor|Señora)\.?|GIVEN)\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?",
+    "id": r"(?<![\p{L}0-9.,+-])[0-9]{2,}+(?:[\x20./-][0-9]++){0,6}+(?![\p{L}0-9])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]{0,63}[0-9])(?=[0-9_+/-]{0,63}[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}+",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{TITLE}\.?\x20\p{{Lu}}\p{{Ll}}++(?:\x20\p{{Lu}}\p{{Ll}}++)?|\p{{Lu}}\p{{Ll}}++\x20\p{{Lu}}\p{{Ll}}++)",
 }
+#: What a text must have for a pattern to be tried.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "id": "[0-9]{2}", "secret": r"[A-Za-z0-9_+/-]{16}", "name": r"\p{Ll}\x20\p{Lu}\p{Ll}"}
 #: Given names of the gazetteer (fixed values).
 GIVEN = [
     "James", "Mary", "Robert", "Patricia", "John", "Jennifer", "Michael", "Linda", "David", "Elizabeth", "William", "Barbara",
@@ -40,13 +47,22 @@ GIVEN = [
     "Jürgen", "Petra", "Sabine", "Jean", "Marie", "Pierre", "Michel", "Nathalie", "Isabelle", "Philippe", "Antonio", "José",
     "Carmen", "Manuel", "Ana", "Francisco", "Pilar", "Javier", "Lucía",
 ]
-PATTERNS["name"] = PATTERNS["name"].replace("GIVEN", "(?:" + "|".join(GIVEN) + ")")
-#: What a text must have for a pattern to be tried.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "id": "[0-9]{2}", "name": r"\p{Lu}\p{Ll}"}
-#: Words that speak for personal data when they stand before, and for something else when they stand around (fixed values).
+#: Words that no person is called (fixed values).
+COMMON = [
+    "The", "And", "Of", "To", "In", "That", "Is", "Was", "He", "For", "It", "With", "As", "On", "Be", "At", "By", "This", "Not", "Are",
+    "But", "From", "Or", "Have", "An", "They", "Which", "Der", "Die", "Das", "Und", "Den", "Von", "Zu", "Mit", "Sich", "Des", "Auf",
+    "Ist", "Im", "Dem", "Nicht", "Ein", "Eine", "Als", "Auch", "Es", "Le", "La", "Les", "Et", "En", "Un", "Une", "Du", "Que", "Qui",
+    "Dans", "Est", "Pour", "Sur", "Pas", "Au", "El", "Los", "Las", "De", "Se", "Del", "Por", "Con", "Una", "Su", "Para", "Al", "Lo",
+    "Como", "License", "Public", "Version", "Copyright", "University", "Street", "Monday", "January", "Read", "Home", "About",
+]
+#: Words that speak for personal data when they stand before a candidate, and for something else (fixed values).
 FOR = r"(?i)\b(?:tel|phone|telefon|téléphone|teléfono|call|mobile|fax|e-?mail|contact|card|visa|karte|carte|tarjeta|ip|address|adresse|name|nombre|nom|ssn|passport|iban|account|konto|born|signed)\b[^\p{L}]{0,12}\z"
-AGAINST = r"(?i)(?:\b(?:token|sha|hash|version|isbn|issue|page|seite|pp|vol|chapter|figure|table|year|row|id)\b[^\p{L}]{0,6}|[$€£#=]\x20?)\z"
+AGAINST = r"(?i)(?:\b(?:token|sha|hash|version|isbn|issue|page|seite|pp|vol|chapter|figure|table|year|row|order|no|id)\b[^\p{L}]{0,6}|[$€£#=]\x20?)\z"
+SECRET_FOR = r"(?i)(?:\b|_)(?:token|secret|password|passwd|pwd|key|apikey|auth|bearer|credentials?)\b[^\p{L}]{0,8}\z"
+SECRET_AGAINST = r"(?i)\b(?:sha1?|sha256|md5|commit|hash|checksum|digest|etag|revision|file|path|url)\b[^\p{L}]{0,8}\z"
+SENTENCE_START = r"(?:\A|[.!?…:]|\n)[\s\"'“«]{0,3}\z"
 UNITS = r"(?i)\A\x20?(?:%|km|kg|cm|mm|mb|gb|eur|usd|euro|dollars?|years?|percent|€|\$)"
+CONTACT = r"(?i)\A[)\]]?[,;]?\x20?(?:phone|tel|ssn|e-?mail|mail|born|mobile|home|work|cell|fax|now)\b"
 LABELERS = ["format", "gazetteer", "before", "after", "shape"]
 YES, NO, SILENT = 1, 0, 2
 #: A candidate beyond the base kinds is taken from this probability on.
@@ -106,33 +122,57 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return (out.when(no, F.lit(NO)) if no is not None else out).otherwise(F.lit(SILENT))
 
 
+def _format(kind: str, m: Column, d: Column) -> Column:
+    """The labeler of full formats: stricter than the patterns that find candidates. A bare hexadecimal token may be a digest as well as a key, so its format tells nothing."""
+    n = F.length(d)
+    return {
+        "email": lambda: _vote(m.rlike(r"\A[A-Za-z0-9_+-][A-Za-z0-9._%+-]{0,63}@[^@]*\.[A-Za-z]{2,24}\z"), F.lit(True)),
+        "ip": lambda: _vote(~m.rlike(r"(?:\A|\.)0[0-9]"), F.lit(True)),
+        "card": lambda: _vote(m.rlike(r"\A(?:[0-9]{13,19}|[0-9]{4}(?:\x20[0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}\x20[0-9]{6}\x20[0-9]{5})\z")),
+        "phone": lambda: _vote(n >= 10, m.rlike(r"\.[0-9]\.|--|\x20\x20")),
+        "id": lambda: _vote(m.rlike(r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), (n < 7) | (n >= 12) | m.rlike(r"[./]")),
+        "secret": lambda: _vote(m.rlike(r"\A(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]+)\z"), m.rlike(r"/[^/]*/|\A[a-z]+(?:-[a-z0-9]+)+\z")),
+        "name": lambda: _vote(m.rlike(rf"\A{TITLE}\.?\x20")),
+    }[kind]()
+
+
+def _gazetteer(kind: str, m: Column) -> Column:
+    """The labeler of lists: domains, address blocks, issuers, country codes, given names and common words."""
+    return {
+        "email": lambda: _vote(m.rlike(r"\.(?:com|org|net|edu|gov|de|fr|es|uk|eu|io)\z")),
+        "ip": lambda: _vote(~m.rlike(r"\A0*(?:0|10|127|255)\.|\A192\.168\."), F.lit(True)),
+        "card": lambda: _vote(m.rlike(r"\A(?:4|5[1-5]|2[2-7]|3[47]|35|6)"), F.lit(True)),
+        "phone": lambda: _vote(m.rlike(r"\A\+(?:1|33|34|44|49)")),
+        "id": lambda: _vote(m.rlike(r"\A(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}\z"), m.rlike(r"\A(?:1[5-9]|20)[0-9]{2}(?:[./-]|\z)")),
+        "secret": lambda: F.lit(SILENT),
+        "name": lambda: _vote(m.rlike(rf"(?:\A|\x20)(?:{'|'.join(GIVEN)})(?:\x20|\z)"), m.rlike(rf"(?:\A|\x20)(?:{'|'.join(COMMON)})(?:\x20|\z)")),
+    }[kind]()
+
+
 def _votes(kind: str, x: Column) -> Column:
     """Votes of the five labelers on a candidate, and its length class."""
     m, d = x["m"], _digits(x["m"])
     start = F.greatest(x["s"] - CONTEXT, F.lit(0))
     left = F.substring(F.col("__t"), start + 1, x["s"] - start)
     right = F.substring(F.col("__t"), x["e"] + 1, F.lit(12))
-    if kind in BASE:
-        form = F.lit(YES)
-    elif kind == "id":
-        form = _vote(m.rlike(r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z"), F.lit(True))
+    if kind == "secret":
+        before = _vote(left.rlike(SECRET_FOR), left.rlike(SECRET_AGAINST))
+        after = _vote(right.rlike(r"\A[\"'`]"))
+        shape = _vote(5 * F.length(d) >= F.length(m), F.lit(True))
+    elif kind == "name":
+        before = _vote(left.rlike(FOR), left.rlike(SENTENCE_START))
+        after = _vote(right.rlike(CONTACT), right.rlike(r"\A\x20\p{Lu}"))
+        shape = _vote(F.lit(False), m.rlike(r"\A(\p{L}+)\x20\1\z") | (F.length(m) > 40))
     else:
-        form = _vote(m.rlike(r"\A(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra|Señora?)\.?\x20"))
-    gazetteer = {
-        "email": _vote(m.rlike(r"\.(?:com|org|net|edu|gov|de|fr|es|uk|eu|io)\z")),
-        "ip": _vote(~m.rlike(r"\A(?:0|127|255)\."), F.lit(True)),
-        "card": _vote(m.rlike(r"\A[3-6]"), F.lit(True)),
-        "phone": _vote(m.rlike(r"\A\+(?:1|33|34|44|49)")),
-        "id": F.lit(SILENT),
-        "name": _vote(F.lit(True)),
-    }[kind]
-    if kind in ("email", "name"):
-        shape = _vote(F.length(m) <= 64, F.lit(True))
-    else:
-        same = d.rlike(r"\A([0-9])\1+\z")
-        shape = _vote(F.length(d).between(7, 19) & ~same, same | (F.length(d) < 7))
+        before = _vote(left.rlike(FOR), left.rlike(AGAINST))
+        after = _vote(right.rlike(CONTACT), right.rlike(UNITS))
+        if kind == "email":
+            shape = _vote(F.length(m) <= 64, F.lit(True))
+        else:
+            same = d.rlike(r"\A([0-9])\1+\z")
+            shape = _vote(F.length(d).between(5 if kind == "ip" else 7, 19) & ~same, same | (F.length(d) < 7))
     return F.struct(
-        F.array(form, gazetteer, _vote(left.rlike(FOR)), F.when(left.rlike(AGAINST) | right.rlike(UNITS), F.lit(NO)).otherwise(F.lit(SILENT)), shape).alias("v"),
+        F.array(_format(kind, m, d), _gazetteer(kind, m), before, after, shape).alias("v"),
         F.least(F.floor(F.length(m) / 8), F.lit(3)).cast("int").alias("n"),
     )
 
@@ -155,47 +195,61 @@ def candidates(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "base", clear.alias("extra"))
 
 
-def reliabilities(cells: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Posterior of each vote pattern by expectation maximisation under labelers that are independent given the truth.
+Cell = tuple[int, tuple[int, ...]]
+
+
+def reliabilities(cells: dict[Cell, int], rounds: int = ROUNDS) -> dict[Cell, float]:
+    """Posterior of each (kind, vote pattern) by expectation maximisation, under labelers that are independent given the truth.
 
-    It starts from the share of yes among the votes cast; every table of
-    probabilities is smoothed with one pseudo-count, so that nothing is 0.
+    Labelers have one table for all kinds, true spans a share of their own in
+    each kind. It starts from the share of yes among the votes cast, with a
+    vote pattern without any at a quarter; every table of probabilities is
+    smoothed with one pseudo-count, so that nothing is 0.
     """
-    cast = {p: [v for v in p if v != SILENT] for p in cells}
-    post = {p: (sum(c) + 0.5) / (len(c) + 1) for p, c in cast.items()}
+    post = {c: (sum(v == YES for v in c[1]) + 0.5) / (sum(v != SILENT for v in c[1]) + 2 - (YES in c[1])) for c in cells}
     for _ in range(rounds):
-        weight = [sum(n * (post[p] if y else 1 - post[p]) for p, n in cells.items()) for y in (0, 1)]
+        weight = {y: 0.0 for y in (0, 1)}
+        share = {(k, y): 1.0 for k in range(len(KINDS)) for y in (0, 1)}
         table = [[[1.0] * 3 for _ in LABELERS] for _ in range(2)]
-        for p, n in cells.items():
-            for k, v in enumerate(p):
-                for y in (0, 1):
-                    table[y][k][v] += n * (post[p] if y else 1 - post[p])
-        for p in cells:
-            logs = [math.log(weight[y] + 1) + sum(math.log(table[y][k][v] / (weight[y] + 3)) for k, v in enumerate(p)) for y in (0, 1)]
-            post[p] = 1 / (1 + math.exp(max(-700.0, min(700.0, logs[0] - logs[1]))))
+        for c, n in cells.items():
+            for y in (0, 1):
+                own = n * (post[c] if y else 1 - post[c])
+                weight[y] += own
+                share[c[0], y] += own
+                for k, v in enumerate(c[1]):
+                    table[y][k][v] += own
+        for c in cells:
+            logs = [math.log(share[c[0], y]) + sum(math.log(table[y][k][v] / (weight[y] + 3)) for k, v in enumerate(c[1])) for y in (0, 1)]
+            post[c] = 1 / (1 + math.exp(max(-700.0, min(700.0, logs[0] - logs[1]))))
     return post
 
 
-def _features(votes: tuple[int, ...], length: int) -> list[int]:
-    """Active features: the bias, each vote that was cast, the length class."""
-    return [0, *(1 + 2 * k + v for k, v in enumerate(votes) if v != SILENT), 1 + 2 * len(LABELERS) + length]
+def _features(kind: int, votes: tuple[int, ...], length: int) -> list[int]:
+    """Active features: the bias, each vote that was cast, the length class, the kind."""
+    base = 1 + 2 * len(LABELERS)
+    return [0, *(1 + 2 * k + v for k, v in enumerate(votes) if v != SILENT), base + length, base + 4 + kind]
 
 
-def train(cells: dict[tuple[tuple[int, ...], int], int], steps: int = 300) -> list[float]:
-    """Weights of the span classifier: logistic regression on the posteriors, by gradient steps over the counted cells."""
-    merged: dict[tuple[int, ...], int] = {}
-    for (votes, _), n in cells.items():
-        merged[votes] = merged.get(votes, 0) + n
+def train(cells: dict[tuple[int, tuple[int, ...], int], int], steps: int = 300) -> list[float]:
+    """Weights of the span classifier: logistic regression on the posteriors, by gradient steps over the counted cells.
+
+    Each kind weighs the same in all, so that the many pairs of capitalised
+    words don't drown the few numbers.
+    """
+    merged: dict[Cell, int] = {}
+    size: dict[int, int] = {}
+    for (kind, votes, _), n in cells.items():
+        merged[kind, votes] = merged.get((kind, votes), 0) + n
+        size[kind] = size.get(kind, 0) + n
     post = reliabilities(merged) if merged else {}
-    weights = [0.0] * (1 + 2 * len(LABELERS) + 4)
-    total = sum(cells.values()) or 1
+    weights = [0.0] * (1 + 2 * len(LABELERS) + 4 + len(KINDS))
     for _ in range(steps):
         gradient = [1e-3 * w for w in weights]
-        for (votes, length), n in cells.items():
-            active = _features(votes, length)
-            error = 1 / (1 + math.exp(-max(-60.0, min(60.0, sum(weights[f] for f in active))))) - post[votes]
+        for (kind, votes, length), n in cells.items():
+            active = _features(kind, votes, length)
+            error = 1 / (1 + math.exp(-max(-60.0, min(60.0, sum(weights[f] for f in active))))) - post[kind, votes]
             for f in active:
-                gradient[f] += error * n / total
+                gradient[f] += error * n / size[kind] / len(size)
         weights = [w - 2.0 * g for w, g in zip(weights, gradient, strict=True)]
     return weights
 
@@ -204,7 +258,8 @@ def _score(x: Column, weights: list[float]) -> Column:
     out = F.lit(weights[0])
     for k in range(len(LABELERS)):
         out = out + F.when(x["w"]["v"][k] == YES, F.lit(weights[2 + 2 * k])).when(x["w"]["v"][k] == NO, F.lit(weights[1 + 2 * k])).otherwise(F.lit(0.0))
-    return out + F.get(F.array(*map(F.lit, weights[-4:])), x["w"]["n"])
+    base = 1 + 2 * len(LABELERS)
+    return out + F.get(F.array(*map(F.lit, weights[base : base + 4])), x["w"]["n"]) + F.get(F.array(*map(F.lit, weights[base + 4 :])), x["k"])
 
 
 def find_spans(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
@@ -217,8 +272,8 @@ def find_spans(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """
     found = Scratch(docs.sparkSession).keep(candidates(docs))
     every = found.select(F.explode(F.concat("base", "extra")).alias("x"))
-    cells = every.groupBy(F.col("x.w.v").alias("v"), F.col("x.w.n").alias("n")).agg(F.count("*").alias("c")).collect()
-    weights = train({(tuple(r["v"]), r["n"]): r["c"] for r in sorted(cells, key=lambda r: (r["v"], r["n"]))})
+    cells = every.groupBy(F.col("x.k").alias("k"), F.col("x.w.v").alias("v"), F.col("x.w.n").alias("n")).agg(F.count("*").alias("c")).collect()
+    weights = train({(r["k"], tuple(r["v"]), r["n"]): r["c"] for r in sorted(cells, key=lambda r: (r["k"], r["v"], r["n"]))})
     limit = math.log(accept / (1 - accept))
     plain = lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
     more = F.transform(F.filter("extra", lambda x: _score(x, weights) >= limit), plain)
@@ -237,4 +292,5 @@ def digest(docs: DataFrame) -> DataFrame:
     def count(k: str) -> Column:
         return F.size(F.filter("base", lambda x: x["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
 
-    return out.select("doc_id", *map(count, BASE), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    other = (F.size("spans") - F.size("base")).cast("long").alias("n_other")
+    return out.select("doc_id", *map(count, BASE), other, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
