@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitmesh.llm.frames import Scratch, once
 
-#: The template's marks (fixed values). A mark inside a text is escaped.
+#: The template's marks (fixed values). A mark inside a text or a name is escaped, and a line break in a name becomes a blank.
 SYSTEM, ASSISTANT, USER, END = "<|system|>", "<|assistant|>", "<|user name=%s|>", "<|end|>"
 #: Turns of one segment. A dialogue with more is rendered in consecutive segments, so that no task holds an unbounded one.
 SEGMENT_TURNS = 1024
@@ -87,10 +87,11 @@ def rotate(turns: DataFrame, segment_turns: int = SEGMENT_TURNS, part_rows: int
     views = whole.select("conv_id", F.lit(0).cast("long").alias("segment"), F.lit(0).cast("long").alias("part"), F.explode_outer(speakers).alias("participant"), "turns")
     if some:
         views = views.unionByName(_cut(x.join(y, among, "left_semi"), segment_turns, part_rows, scratch))
+    quoted = lambda r: F.translate(F.replace(F.replace(r, F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("|\\>")), "\n\r", "  ")
     own = lambda t: F.coalesce((t["role"] == F.col("participant")) & (t["role"] != "system"), F.lit(False))
 
     def head(t):
-        name = F.concat(F.lit(USER.partition("%s")[0]), t["role"], F.lit(USER.partition("%s")[2]))
+        name = F.concat(F.lit(USER.partition("%s")[0]), quoted(t["role"]), F.lit(USER.partition("%s")[2]))
         return F.concat(F.when(t["role"] == "system", F.lit(SYSTEM)).when(own(t), F.lit(ASSISTANT)).otherwise(name), F.lit("\n"))
 
     pieces = F.transform("turns", lambda t: F.struct(head(t).alias("h"), F.concat(t["text"], F.lit("\n" + END)).alias("b"), own(t).alias("o")))
@@ -114,25 +115,29 @@ def rotate(turns: DataFrame, segment_turns: int = SEGMENT_TURNS, part_rows: int
 
 
 SQL = r"""
-WITH t AS (
-  SELECT conv_id, coalesce(turn, 0) // 1024 AS segment, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations
+WITH u AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations
+), v AS (
+  SELECT *, (dense_rank() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1) // 1024 AS segment FROM u
+), t AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST, role, text) - 1) // 4096 AS part FROM v
 ), p AS (
-  SELECT DISTINCT conv_id, segment, role AS participant FROM t WHERE role <> 'system'
+  SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'
 ), q AS (
-  SELECT conv_id, segment, participant FROM p
-  UNION ALL SELECT DISTINCT t.conv_id, t.segment, NULL FROM t LEFT JOIN p ON p.conv_id = t.conv_id AND p.segment = t.segment WHERE p.participant IS NULL
+  SELECT c.conv_id, p.participant FROM (SELECT DISTINCT conv_id FROM t) c LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
 ), r AS (
   SELECT t.*, participant, coalesce(role = participant, false) AS own,
-         CASE WHEN role = 'system' THEN '<|system|>' WHEN role = participant THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
+         CASE WHEN role = 'system' THEN '<|system|>' WHEN role = participant THEN '<|assistant|>'
+              ELSE '<|user name=' || translate(replace(replace(role, '<|', '<\|'), '|>', '|\>'), chr(10) || chr(13), '  ') || '|>' END || chr(10) AS head,
          text || chr(10) || '<|end|>' AS body,
-         row_number() OVER (PARTITION BY t.conv_id, t.segment, participant ORDER BY turn NULLS FIRST, role, text) AS k
-  FROM t JOIN q ON q.conv_id = t.conv_id AND q.segment = t.segment
+         row_number() OVER (PARTITION BY t.conv_id, t.segment, t.part, participant ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM t JOIN q ON q.conv_id IS NOT DISTINCT FROM t.conv_id
 ), s AS (
-  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, segment, participant ORDER BY k) - length(body) - 1 AS pos FROM r
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, segment, part, participant ORDER BY k) - length(body) - 1 AS pos FROM r
 )
-SELECT conv_id, segment::BIGINT AS segment, 0::BIGINT AS part, participant, count(*)::BIGINT AS n_turns,
+SELECT conv_id, segment::BIGINT AS segment, part::BIGINT AS part, participant, count(*)::BIGINT AS n_turns,
        string_agg(head || body || chr(10), '' ORDER BY k) AS text,
        coalesce(string_agg(pos::BIGINT || ':' || (pos + length(body))::BIGINT, ',' ORDER BY k) FILTER (WHERE own), '') AS masks,
        coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_mask_chars
-FROM s GROUP BY conv_id, segment, participant
+FROM s GROUP BY conv_id, segment, part, participant
 """
