@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitmesh.llm.frames import prepare
 
-#: Ends each label of a host key. It sorts before every other character, so that a host's subdomains follow it without a gap.
+#: Ends each label of a host key. It sorts before every other character of a key, so that a host's subdomains follow it without a gap.
 END = "\x01"
-#: Sorts after every key that starts with the same labels.
-LAST = "\U0010ffff"
+#: The characters up to this one stand in keys as this one and another, so that END is never part of a label.
+ESCAPE = "\x02"
+#: Follows END: a key with this in place of its last character sorts right after all keys that start with it.
+AFTER = "\x02"
 RANGE_ROWS = 50_000
 #: Ranges at most: a bound for the borders and for the sample that gives them. Beyond it, ranges get longer, which their sorted sweep allows.
 MOST_RANGES = 1 << 14
@@ -34,8 +37,14 @@ def host_and_path(url: str = "url"):
 
 
 def host_key(host):
-    """Labels from the last to the first, each ended by END; a host without labels has the empty key."""
-    turned = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), END), F.lit(END))
+    """Labels from the last to the first, each ended by END; a host without labels has the empty key.
+
+    Control characters that would be taken for END or sort below it are escaped: equal keys mean equal hosts, whatever these hold.
+    """
+    plain = host
+    for c, other in ((ESCAPE, "\x05"), (END, "\x04"), ("\x00", "\x03")):
+        plain = F.replace(plain, F.lit(c), F.lit(ESCAPE + other))
+    turned = F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), END), F.lit(END))
     return F.when(host == "", F.lit("")).otherwise(turned)
 
 
@@ -43,7 +52,8 @@ class Sweep:
     """Goes through rules and urls in key order and keeps the stack of the rule hosts that the present key lies under."""
 
     def __init__(self):
-        self.stack: list[tuple[str, dict[str, tuple[str, str]]]] = []
+        # host key, rules by path, the paths' lengths from the longest on
+        self.stack: list[tuple[str, dict[str, tuple[str, str]], list[int]]] = []
 
     def _narrow(self, key: str) -> None:
         while self.stack and not key.startswith(self.stack[-1][0]):
@@ -52,22 +62,57 @@ class Sweep:
     def rule(self, key: str, path: str, rule: tuple[str, str]) -> None:
         self._narrow(key)
         if not self.stack or self.stack[-1][0] != key:
-            self.stack.append((key, {}))
-        old = self.stack[-1][1].get(path)
-        self.stack[-1][1][path] = min(old, rule, key=lambda r: r[1] != "block") if old else rule
-
-    def judge(self, key: str, path: str) -> tuple[str, str] | None:
-        """The longest rule that fits; of two as long, that of the longer host."""
-        self._narrow(key)
+            self.stack.append((key, {}, []))
+        _, paths, lengths = self.stack[-1]
+        old = paths.get(path)
+        paths[path] = min(old, rule, key=lambda r: r[1] != "block") if old else rule
+        if len(path) not in lengths:
+            lengths.append(len(path))
+            lengths.sort(reverse=True)
+
+    def judge(self, path: str) -> tuple[str, str] | None:
+        """The longest rule of the stack that fits; of two as long, that of the longer host."""
         best = None
-        for _, paths in reversed(self.stack):
-            for n in sorted({len(p) for p in paths}, reverse=True):
+        for _, paths, lengths in reversed(self.stack):
+            for n in lengths:
                 if len(path) >= n and (found := paths.get(path[:n])):
                     if best is None or len(found[0]) > len(best[0]):
                         best = found
                     break
         return best
 
+    def judge_run(self, key: str, paths: list[str]) -> list[tuple[str, str] | None]:
+        """The rules of all urls of one host: the stack is brought to the host once, each distinct path is judged once."""
+        self._narrow(key)
+        if not self.stack:
+            return [None] * len(paths)
+        known = {p: self.judge(p) for p in set(paths)}
+        return [known[p] for p in paths]
+
+
+class Borders:
+    """The borders (key, salt) of the ranges, and the range of each url or rule."""
+
+    def __init__(self, cuts: list[tuple[str, int]]):
+        self.keys = [k for k, _ in cuts]
+        self.salts = np.array([s for _, s in cuts], np.int64)
+
+    def of_urls(self, key: pa.Array, salt: pa.Array) -> np.ndarray:
+        """Each distinct key of the batch is looked up once; salts decide among the ranges that one hot key has."""
+        coded = key.dictionary_encode()
+        back = coded.indices.to_numpy()
+        names = coded.dictionary.to_pylist()
+        lo, hi = (np.array([find(self.keys, k) for k in names], np.int64)[back] for find in (bisect_left, bisect_right))
+        for place in np.unique(lo[hi > lo]).tolist():  # keys that are borders themselves
+            at = np.flatnonzero((lo == place) & (hi > lo))
+            top = hi[at[0]]
+            lo[at] = place + np.searchsorted(self.salts[place:top], salt.to_numpy()[at], "right")
+        return lo
+
+    def of_rule(self, key: str) -> range:
+        """All ranges that hold keys starting with this one."""
+        return range(bisect_left(self.keys, key), bisect_left(self.keys, key[:-1] + AFTER) + 1)
+
 
 def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", default: str = DEFAULT, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of each row of pages, by rules with columns ``host, path, verdict``.
@@ -81,7 +126,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", default
 
     Null urls and urls without ``://`` have empty host and path, and fit no
     rule. Repeated urls are judged each. Rules with a null or empty host fit
-    nothing; of equal rules, block wins. Extra columns are ignored.
+    nothing; of equal rules, block wins. Hosts and paths may hold any
+    character, control characters too. Empty tables give no rows; extra
+    columns are ignored.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -100,19 +147,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", default
     shared = spark.sparkContext.broadcast(borders)  # fewer than MOST_RANGES
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = shared.value
+        cuts = Borders(shared.value)
         for b in batches:
-            at = [bisect_right(cuts, x) for x in zip(b["k"].to_pylist(), b["spread"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *b.columns], ["range", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(cuts.of_urls(b["k"], b["spread"])), *b.columns], ["range", *b.schema.names])
 
     def deal_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = shared.value
+        cuts = Borders(shared.value)
         for b in batches:
-            rows = b.to_pylist()
-            spans = [(bisect_right(cuts, (r["k"], -1)), bisect_right(cuts, (r["k"] + LAST, 1 << 20))) for r in rows]
-            out = [{"range": i} | r for r, (lo, hi) in zip(rows, spans, strict=True) for i in range(lo, hi + 1)]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([pa.field("range", pa.int64()), *b.schema]))
+            spans = [cuts.of_rule(k) for k in b["k"].to_pylist()]
+            row = np.repeat(np.arange(len(spans)), [len(x) for x in spans])
+            to = pa.array([i for x in spans for i in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([to, *(c.take(pa.array(row)) for c in b.columns)], ["range", *b.schema.names])
 
     known = rules.select(F.lower(F.col("host").cast("string")).alias("host"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), F.col("verdict").cast("string").alias("verdict")).where("host <> ''")
     known = known.select(F.lit(None).cast("long").alias("page_id"), "host", "path", host_key(F.col("host")).alias("k"), F.lit(-1).alias("spread"), "verdict")
@@ -124,17 +169,28 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", default
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, here = Sweep(), None
         for b in batches:
-            out: list[tuple] = []
-            for r, page, h, p, k, spread, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r != here:
-                    state, here = Sweep(), r
-                if spread < 0:
-                    state.rule(k, p, (h + p, v))
+            n = len(b)
+            if not n:
+                continue
+            ranges, salts = b["range"].to_numpy(), b["spread"].to_numpy()
+            key = b["k"].dictionary_encode().indices.to_numpy()
+            # runs of one range, one host, and rules or urls
+            new = np.r_[True, (ranges[1:] != ranges[:-1]) | (key[1:] != key[:-1]) | ((salts[1:] < 0) != (salts[:-1] < 0))]
+            opens = np.r_[np.flatnonzero(new), n].tolist()
+            hosts, paths, names, verdicts = (b[c].to_pylist() for c in ("k", "path", "host", "verdict"))
+            found: list[tuple[str, str] | None] = [None] * n
+            for x, y in zip(opens, opens[1:]):
+                if ranges[x] != here:
+                    state, here = Sweep(), ranges[x]
+                if salts[x] < 0:
+                    for i in range(x, y):
+                        state.rule(hosts[i], paths[i], (names[i] + paths[i], verdicts[i]))
                 else:
-                    rule = state.judge(k, p)
-                    out.append((page, h, p, rule[0] if rule else None, rule[1] if rule else default))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], ["page_id", "host", "path", "rule", "verdict"])
+                    found[x:y] = state.judge_run(hosts[x], paths[x:y])
+            urls = pa.array(salts >= 0)
+            rule = pa.array([f[0] if f else None for f in found], pa.string())
+            verdict = pa.array([f[1] if f else default for f in found], pa.string())
+            yield pa.RecordBatch.from_arrays([c.filter(urls) for c in (b["page_id"], b["host"], b["path"], rule, verdict)], ["page_id", "host", "path", "rule", "verdict"])
 
     return both.mapInArrow(sweep, "page_id long, host string, path string, rule string, verdict string")
 
