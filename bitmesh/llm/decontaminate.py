@@ -11,20 +11,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitmesh.llm import words as W
 from bitmesh.llm.fm_index import FMIndex
-from bitmesh.llm.frames import prepare
+from bitmesh.llm.frames import Scratch, prepare
 
 WINDOW = 10
 SHARD_BYTES = 48 << 20
-#: Bytes of benchmark text that are searched for in one pass; more go in blocks.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that are searched for in one pass, and held by the driver and each worker at a time; more go in blocks, one pass each.
+BLOCK_BYTES = 4 << 20
 SEARCH_ROWS = 1 << 18
 
 
@@ -46,7 +48,7 @@ class Phrases:
                 by_length.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(own, n), item))
         self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for rows in by_length.values():
-            patterns, back = np.unique(np.concatenate([r for r, _ in rows]), axis=0, return_inverse=True)
+            patterns, back = np.unique(np.concatenate([r for r, _ in rows]).astype(np.int32), axis=0, return_inverse=True)
             pairs = np.unique(np.stack([back.ravel(), np.concatenate([np.full(len(r), i) for r, i in rows])], 1), axis=0)
             self.groups.append((patterns, np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)), pairs[:, 1]))
         self.shortest = min(by_length, default=0)
@@ -105,14 +107,12 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join(parts).decode()
 
 
-def _clean(raw: bytes, spans: list[tuple[int, int]], blocks: list[Phrases]) -> str:
-    """The text without the spans, and without occurrences that only the cuts have made."""
+def _clean(raw: bytes, spans: list[tuple[int, int]], phrases: Phrases | None) -> str:
+    """The text without the spans, and without occurrences of these phrases that only the cuts have made."""
     text = _cut(raw, spans)
     while True:
         words = W.scan(pa.array([text], pa.large_string()), W.NOT_ALNUM)
-        hit = np.zeros(len(words.code), bool)
-        for phrases in blocks:
-            hit |= phrases.find(words.code, words.first)[0]
+        hit = phrases.find(words.code, words.first)[0] if phrases else np.zeros(0, bool)
         if not hit.any():
             return text
         text = _cut(text.encode(), _spans(words, hit, 0))
@@ -128,12 +128,77 @@ def _spans(words: W.Words, hit: np.ndarray, text: int) -> list[tuple[int, int]]:
     return list(zip((words.start[starts] - base).tolist(), (words.end[ends] - base).tolist(), strict=True))
 
 
+OWN = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "cleaned"]
+#: What goes from one block's pass to the next: a bit for each word, and the items found.
+STATE = ["__hit", "__found"]
+
+
+def _pass(docs: DataFrame, block: Broadcast, with_text: bool, first: bool, last: bool) -> DataFrame:
+    """Searches every shard of the documents for one block of phrases; the last pass gives the result columns instead of the state."""
+    names = [c for c in docs.columns if c not in STATE]
+
+    def shard(batches: list[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
+        scanned = [W.scan(b["text"], W.NOT_ALNUM) for b in batches]
+        code = np.concatenate([w.code for w in scanned])
+        counts = np.concatenate([np.diff(w.first) for w in scanned])
+        borders = np.r_[0, np.cumsum(counts)]
+        hit, items = phrases.find(code, borders)
+        found = [{phrases.ids[i] for i in x} for x in items]
+        if not first:
+            before = [x for b in batches for x in zip(b["__hit"].to_pylist(), b["__found"].to_pylist(), strict=True)]
+            for i, (bits, ids) in enumerate(before):
+                if ids:
+                    hit[borders[i] : borders[i + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=int(counts[i])).astype(bool)
+                    found[i].update(ids)
+        n_hit = np.diff(np.r_[0, np.cumsum(hit)][borders])
+        row = 0
+        for b, words in zip(batches, scanned, strict=True):
+            n = len(b)
+            own, ids, hits = hit[borders[row] : borders[row + n]], found[row : row + n], n_hit[row : row + n]
+            if last:
+                digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in ids]
+                new = [pa.array(np.diff(words.first)), pa.array(hits), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array(hits > 0)]
+                if with_text:
+                    texts = b["text"]
+                    if hits.any():
+                        values, raw = texts.to_pylist(), words.buf.tobytes()
+                        for i in np.flatnonzero(hits).tolist():
+                            values[i] = _clean(raw[words.offsets[i] : words.offsets[i + 1]], _spans(words, own, i), phrases if first else None)
+                        texts = pa.array(values, pa.string())
+                    new.append(texts)
+            else:
+                bits = [np.packbits(own[x:y]).tobytes() if h else b"" for x, y, h in zip(words.first[:-1], words.first[1:], hits, strict=True)]
+                new = [pa.array(bits, pa.binary()), pa.array([sorted(x) for x in ids], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), *new], [*names, *(OWN[: len(new)] if last else STATE)])
+            row += n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = block.value
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= SHARD_BYTES:
+                yield from shard(held, phrases)
+                held, size = [], 0
+        if held:
+            yield from shard(held, phrases)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in STATE)
+    new = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", cleaned string" * with_text
+    return docs.mapInArrow(run, f"{kinds}, {new if last else '__hit binary, __found array<string>'}")
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, with_text: bool = False, window: int = WINDOW) -> DataFrame:
     """Adds ``n_words, n_hit, n_items, items_sha256, contaminated`` to the documents; with ``with_text`` also ``cleaned``, the text without the hit spans.
 
     The benchmark is a stated query set. It is taken in blocks of about
-    BLOCK_BYTES of text, each of which is broadcast; every block is searched
-    for in every shard. Documents are neither shuffled nor joined.
+    BLOCK_BYTES of text (a longer item is a block), one after the other: the
+    driver and the workers hold one block at a time, however large the
+    benchmark is. One block takes one pass over the documents, which are
+    neither shuffled nor joined; of several blocks, each takes a pass that
+    hands on which words were hit. Where cuts out of a text have joined the
+    ends of further occurrences, these are cut too.
 
     Null texts have no words. Items without words occur nowhere; items with
     the same id count once, a null id counts as an empty one. Repeated
@@ -142,60 +207,39 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, with_text: bool =
     """
     spark = docs.sparkSession
     prepare(spark)
-    own = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "cleaned"]
-    docs = docs.drop(*own).withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop(*OWN, *STATE, "__row").withColumn("text", F.col("text").cast("string"))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     count = max(1, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    shared = []
-    for k in range(count):
-        rows = items.where(block == k).distinct().collect()
-        shared.append(spark.sparkContext.broadcast(Phrases([r["item_id"] for r in rows], [r["text"] for r in rows], window)))
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
 
-    def shard(batches: list[pa.RecordBatch], blocks: list[Phrases]) -> Iterator[pa.RecordBatch]:
-        scanned = [W.scan(b["text"], W.NOT_ALNUM) for b in batches]
-        code = np.concatenate([w.code for w in scanned])
-        counts = np.concatenate([np.diff(w.first) for w in scanned])
-        first = np.r_[0, np.cumsum(counts)]
-        hit, found = np.zeros(len(code), bool), [set() for _ in counts]
-        for phrases in blocks:
-            more, items = phrases.find(code, first)
-            hit |= more
-            for text in (i for i, x in enumerate(items) if x):
-                found[text].update(phrases.ids[i] for i in items[text])
-        n_hit = np.diff(np.r_[0, np.cumsum(hit)][first])
-        digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
-        row = word = 0
-        for b, words in zip(batches, scanned, strict=True):
-            n, m = len(b["text"]), len(words.code)
-            hits = n_hit[row : row + n]
-            new = [pa.array(np.diff(words.first)), pa.array(hits), pa.array([len(x) for x in found[row : row + n]], pa.int64()), pa.array(digests[row : row + n]), pa.array(hits > 0)]
-            if with_text:
-                texts = b["text"]
-                if hits.any():
-                    values, raw = texts.to_pylist(), words.buf.tobytes()
-                    for i in np.flatnonzero(hits).tolist():
-                        values[i] = _clean(raw[words.offsets[i] : words.offsets[i + 1]], _spans(words, hit[word : word + m], i), blocks)
-                    texts = pa.array(values, pa.string())
-                new.append(texts)
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *own[: len(new)]])
-            row, word = row + n, word + m
+    def block(k: int) -> Broadcast:
+        rows = items.where(number == k).distinct().collect()  # BLOCK_BYTES at about
+        return spark.sparkContext.broadcast(Phrases([r["item_id"] for r in rows], [r["text"] for r in rows], window))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [b.value for b in shared]
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= SHARD_BYTES:
-                yield from shard(held, blocks)
-                held, size = [], 0
-        if held:
-            yield from shard(held, blocks)
+    if count == 1:
+        return _pass(docs, block(0), with_text, True, True)
+    scratch = Scratch(spark)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", cleaned string" * with_text)
+    def searched(docs: DataFrame) -> DataFrame:
+        for k in range(count):
+            phrases = block(k)
+            docs = scratch.keep(_pass(docs, phrases, with_text, k == 0, k == count - 1))
+            phrases.destroy()
+        return docs
+
+    out = searched(docs)
+    if not with_text:
+        return out
+    out = scratch.keep(out.withColumn("__row", F.monotonically_increasing_id()))
+    clean, open_ = [], out.where("contaminated").select("__row", F.col("cleaned").alias("text"))
+    while not open_.isEmpty():
+        step = searched(open_)
+        clean.append(step.where("NOT contaminated").select("__row", F.col("cleaned").alias("__found")))
+        open_ = step.where("contaminated").select("__row", F.col("cleaned").alias("text"))
+    if clean:
+        out = out.join(reduce(DataFrame.unionByName, clean), "__row", "left").withColumn("cleaned", F.coalesce("__found", "cleaned")).drop("__found")
+    return out.drop("__row")
 
 
 SQL = r"""

@@ -676,6 +676,18 @@ def test_decontamination(spark, texts, block, monkeypatch):
             assert r["cleaned"] == every[r["doc_id"]]
 
 
+def test_one_block_of_the_benchmark_is_held_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    made = []
+    plain = decontaminate.Phrases.__init__
+    monkeypatch.setattr(decontaminate.Phrases, "__init__", lambda self, ids, texts, window: (made.append(sum(map(len, texts))), plain(self, ids, texts, window))[1])
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(40)]
+    texts = [f"before {x} after" for _, x in items] + ["clean text", None]
+    rows = decontaminate.find_contamination(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in rows] == plain_hits(texts, items)
+    assert len(made) > 10 and max(made) < 800 and sum(made) == sum(len(x) for _, x in items)
+
+
 def test_decontamination_edges(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(clashing(spark), bench, with_text=True).where("n_hit > 0").count() == 0
