@@ -38,9 +38,11 @@ def require_binary(codes: DataFrame, code: str = "code") -> None:
 
 
 def to_words(codes: DataFrame, d_bytes: int, id: str = "id", code: str = "code") -> DataFrame:
-    """``id, w0, w1, ...`` of binary codes."""
-    words = [F.conv(F.hex(F.substring(code, 8 * i + 1, 8)), 16, -10).cast("bigint").alias(name) for i, name in enumerate(word_names(d_bytes))]
-    return codes.select(F.col(id).cast("bigint").alias("id"), *words)
+    """``id, w0, w1, ...`` of binary codes. A null code or one of another width stops the query."""
+    words = [F.conv(F.hex(F.substring(code, 8 * i + 1, 8)), 16, -10).cast("bigint") for i in range(n_words(d_bytes))]
+    fits = F.coalesce(F.octet_length(code) == d_bytes, F.lit(False))
+    words[0] = F.when(fits, words[0]).otherwise(F.raise_error(F.lit(f"a code has not {d_bytes} bytes")).cast("bigint"))
+    return codes.select(F.col(id).cast("bigint").alias("id"), *[w.alias(n) for w, n in zip(words, word_names(d_bytes), strict=True)])
 
 
 def from_words(words: list[Column], d_bytes: int) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from bitmesh.functions import codes as C
 from bitmesh.operators.pairs import _width
 from bitmesh.plans.chunks import Plan
+from bitmesh.sources.shared import stored
 
 
 def sampled_bits(d_bytes: int, tables: int, bits: int, seed: int = 0) -> list[list[int]]:
@@ -23,9 +26,9 @@ def _table_keys(words: list[Column], positions: list[list[int]], d_bytes: int) -
     return F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(*C.extract_bits_at(words, p, d_bytes)).alias("h")) for t, p in enumerate(positions)])
 
 
-def lsh_pairs(codes: DataFrame, k: int, tables: int = 1, bits: int = 16, seed: int = 0) -> DataFrame:
+def lsh_pairs(codes: DataFrame, k: int, tables: int = 1, bits: int = 16, seed: int = 0, d_bytes: int | None = None) -> DataFrame:
     """Pairs within k that share a bucket of bit-sampling hash tables: a subset of all pairs, each once."""
-    width = _width(codes)
+    width = _width(codes, None, d_bytes)
     names = C.word_names(width)
     words = C.to_words(codes, width)
     rows = words.select("id", *names, F.inline(_table_keys([F.col(n) for n in names], sampled_bits(width, tables, bits, seed), width)))
@@ -35,11 +38,11 @@ def lsh_pairs(codes: DataFrame, k: int, tables: int = 1, bits: int = 16, seed: i
     return met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), dist.alias("dist")).distinct()
 
 
-def multi_probe_pairs(codes: DataFrame, k: int, bits: int = 16, flips: int = 0) -> DataFrame:
+def multi_probe_pairs(codes: DataFrame, k: int, bits: int = 16, flips: int = 0, d_bytes: int | None = None) -> DataFrame:
     """Pairs within k whose first ``bits`` bits differ in at most ``flips`` places: one table whose buckets are probed with all patterns of flips."""
     from itertools import combinations
 
-    width = _width(codes)
+    width = _width(codes, None, d_bytes)
     bits = min(bits, 62, 8 * width)
     names = C.word_names(width)
     word_bits = min(64, 8 * width)
@@ -55,11 +58,11 @@ def multi_probe_pairs(codes: DataFrame, k: int, bits: int = 16, flips: int = 0)
     return met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), dist.alias("dist"))
 
 
-def multi_index_pairs(codes: DataFrame, k: int, bits: int | None = None) -> DataFrame:
+def multi_index_pairs(codes: DataFrame, k: int, bits: int | None = None, d_bytes: int | None = None) -> DataFrame:
     """Pairs within k by max(k + 1, 2) keys of at most 32 leading bits of equal chunks: exact, though the keys leave bits out."""
     from bitmesh.operators.pairs import _joined
 
-    width = _width(codes)
+    width = _width(codes, None, d_bytes)
     count = max(k + 1, 2)
     size = bits or max(1, min(32, 8 * width // count))
     plan = Plan(width, tuple(tuple(range(i * size, (i + 1) * size)) for i in range(count)))
@@ -70,27 +73,38 @@ def multi_index_pairs(codes: DataFrame, k: int, bits: int | None = None) -> Data
 def nearest(queries: DataFrame, codes: DataFrame, count: int, k: int | None = None) -> DataFrame:
     """``query_id, id, dist, place``: the ``count`` nearest codes of each query, by distance and id, and within k if that is given.
 
-    With a radius the chunk join finds the candidates; without one, every
-    query is compared with every code, the queries being the stated set.
+    Chunk joins find them: within k, or within radii that double until a query
+    has enough. Beyond the radius at which a chunk has too few bits to part
+    the codes, the queries that are still open, a stated set, are compared
+    with every code.
     """
-    width = _width(queries, codes)
-    if k is not None:
-        from bitmesh.operators.pairs import find_pairs_within
-
-        pairs = find_pairs_within(queries, k, codes)
-    else:
-        from bitmesh.operators.pairs import _nested
+    from bitmesh.operators.pairs import _nested, find_pairs_within
 
-        pairs = _nested(C.to_words(queries, width), C.to_words(codes, width), width, 8 * width, False)
+    width = _width(queries, codes)
     order = Window.partitionBy("i").orderBy("dist", "j")
-    ranked = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count)
-    return ranked.select(F.col("i").alias("query_id"), F.col("j").alias("id"), "dist", "place")
+    ranked = lambda pairs: pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= count).select(F.col("i").alias("query_id"), F.col("j").alias("id"), "dist", "place")
+    if k is not None or not width:
+        return ranked(find_pairs_within(queries, k or 0, codes))
+    n = codes.count()
+    parts, open_, radius = [], queries, 1
+    while 8 * width // (radius + 1) >= math.log2(n + 1):
+        found = stored(ranked(find_pairs_within(open_, radius, codes, d_bytes=width)))
+        full = found.groupBy("query_id").agg(F.count("*").alias("c")).where(F.col("c") >= min(count, n)).select("query_id")
+        parts.append(found.join(full, "query_id", "left_semi"))
+        open_ = open_.join(full, open_["id"] == full["query_id"], "left_anti")
+        radius *= 2
+    parts.append(ranked(_nested(C.to_words(open_, width), C.to_words(codes, width), width, 8 * width, False)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def nearest_pairs(codes: DataFrame, k: int, count: int = 50) -> DataFrame:
-    """Pairs i < j within k where one is among the other's ``count`` nearest."""
-    top = nearest(codes, codes, count + 1).where(F.col("query_id") != F.col("id")).where(F.col("dist") <= k)
-    return top.select(F.least("query_id", "id").alias("i"), F.greatest("query_id", "id").alias("j"), "dist").distinct()
+    """Pairs i < j within k where one is among the other's ``count`` nearest others; only codes within k are looked at."""
+    from bitmesh.operators.pairs import find_pairs_within
+
+    pairs = find_pairs_within(codes, k)
+    both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
+    top = both.withColumn("place", F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))).where(F.col("place") <= count)
+    return top.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "dist").distinct()
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from bitmesh.operators import approx, pairs
 from bitmesh.operators.index import Index
 from bitmesh.sources import generate
-from bitmesh.sources.codes_io import from_numpy
+from bitmesh.sources.codes_io import from_numpy, write_json_result
+from bitmesh.sources.shared import new_path, stored
 
 RESULT = "dataset string, n bigint, d_bits int, k int, method string, category string, time_s double, pairs bigint, recall_vs_truth double, extra map<string,string>"
 
@@ -27,25 +28,51 @@ class Method:
     run: Callable = field(compare=False)
 
 
-def _index_latency(codes: DataFrame, k: int, seed: int = 42) -> dict[str, float]:
-    """Holds some rows out, indexes the others, and times single queries after ten to warm up."""
-    import tempfile
+HELD_OUT, WARM_UP = 1000, 10
 
+
+def _held_out(codes: DataFrame, seed: int = 42) -> tuple[DataFrame, list[bytes], int]:
+    """The codes without the held-out queries, these, and the width. Queries are the first min(1000, rows / 50), ten at least, by a hash of the id."""
     n = codes.count()
-    held = min(1000, max(10, n // 50))
     place = F.xxhash64("id", F.lit(seed))
-    asked = [bytes(r["code"]) for r in codes.orderBy(place).limit(held).collect()]
-    edge = codes.select(place.alias("p")).orderBy("p").limit(held).agg(F.max("p")).first()[0]
-    rest = codes.where(place > edge)
-    index = Index(codes.sparkSession, tempfile.mkdtemp(), len(asked[0]), k)
-    index.add_batch(rest)
+    some = codes.select(place.alias("p"), "code").orderBy("p").limit(min(HELD_OUT, max(10, n // 50))).collect()
+    rest = codes.where(place > some[-1]["p"]) if some else codes
+    return rest, [bytes(r["code"]) for r in some], len(some[0]["code"]) if some else 0
+
+
+def _latencies(ask: Callable[[bytes], object], asked: list[bytes], built: float) -> dict[str, float]:
+    """Seconds of a query: all held-out ones are timed, after the first ones have run once to warm up."""
+    for code in asked[:WARM_UP]:
+        ask(code)
     took = []
-    for i, code in enumerate(asked[:50]):
+    for code in asked:
         t = time.perf_counter()
-        index.query(code)
-        if i >= 10:
-            took.append(time.perf_counter() - t)
-    return {"median_s": float(np.median(took)), "mean_s": float(np.mean(took)), "p99_s": float(np.percentile(took, 99)), "min_s": min(took)}
+        ask(code)
+        took.append(time.perf_counter() - t)
+    return {"median_s": float(np.median(took)), "mean_s": float(np.mean(took)), "p99_s": float(np.percentile(took, 99)), "min_s": min(took), "build_s": built, "queries": len(took)}
+
+
+def _index_latency(codes: DataFrame, k: int) -> dict[str, float]:
+    """Single queries of the index."""
+    rest, asked, width = _held_out(codes)
+    start = time.perf_counter()
+    index = Index(codes.sparkSession, new_path(codes.sparkSession, "index"), width, k)
+    index.add_batch(rest)
+    return _latencies(index.query, asked, time.perf_counter() - start)
+
+
+def _search_latency(search: Callable[[DataFrame, DataFrame, int], DataFrame]) -> Callable[[DataFrame, int], dict[str, float]]:
+    """Single queries by a join of one row with the other codes, which are stored first."""
+
+    def run(codes: DataFrame, k: int) -> dict[str, float]:
+        spark = codes.sparkSession
+        rest, asked, width = _held_out(codes)
+        start = time.perf_counter()
+        rest = stored(rest)
+        built = time.perf_counter() - start
+        return _latencies(lambda code: search(spark.createDataFrame([(0, bytearray(code))], "id bigint, code binary"), rest, k, width).collect(), asked, built)
+
+    return run
 
 
 METHODS = [
@@ -62,8 +89,8 @@ METHODS = [
     Method("nearest 200", "approximate-tunable", lambda c, k: approx.nearest_pairs(c, k, 200)),
     Method("hash tables 50", "approximate-tunable", lambda c, k: approx.lsh_pairs(c, k, 50, 16)),
     Method("index", "streaming-index", _index_latency),
-    Method("brute force query", "streaming-index", lambda c, k: approx.nearest(c.limit(10), c, 50, None).where(F.col("dist") <= k)),
-    Method("nearest query", "streaming-index", lambda c, k: approx.nearest(c.limit(10), c, 50, k)),
+    Method("brute force query", "streaming-index", _search_latency(lambda q, c, k, width: pairs.find_pairs_cross_brute(q, c, k, width))),
+    Method("nearest query", "streaming-index", _search_latency(lambda q, c, k, width: pairs.find_pairs_cross_bit(q, c, k, width).orderBy("dist", "j").limit(50))),
     Method("cross byte", "cross-join", pairs.find_pairs_cross),
     Method("cross bit", "cross-join", pairs.find_pairs_cross_bit),
     Method("cross brute force", "cross-join", pairs.find_pairs_cross_brute),
@@ -90,24 +117,26 @@ class Preset:
     methods: tuple[str, ...]
 
 
-EXACT = ("pairs byte", "pairs bit", "brute force", "multi-index")
+BYTE, BIT, FLAT, MULTI, HASH, NEAREST, TABLES = "pairs byte", "pairs bit", "brute force", "multi-index", "bit-sampling hash", "nearest 50", "hash tables 10"
+CROSS = ("cross byte", "cross bit", "cross brute force", "cross within", "cross nearest 50")
+#: Sizes, widths, radii and the methods that are compared (fixed values, by this library's method names).
 PRESETS = [
-    Preset("01_sanity", "uniform", (20_000,), 256, (2,), ("pairs byte", "pairs bit", "pairs adaptive", "brute force", "multi-index")),
-    Preset("02_phash_width", "clustered", (50_000,), 64, (2, 4), EXACT),
-    Preset("03_adaptive", "low entropy", (20_000,), 256, (4,), ("pairs byte", "pairs bit", "pairs adaptive", "brute force")),
-    Preset("04_high_k", "uniform", (50_000,), 256, (12, 16, 20), ("pairs byte", "pairs bit", "brute force")),
-    Preset("05_scaling", "uniform", (100_000, 500_000, 1_000_000), 256, (2,), ("pairs byte",)),
-    Preset("06_approximate", "clustered", (100_000,), 256, (4,), ("pairs byte", "pairs bit", "multi-index", "bit-sampling hash", "hash tables 10")),
-    Preset("07_stress", "uniform", (2_000_000,), 256, (2,), ("pairs byte",)),
-    Preset("08_clustered_scaling", "clustered", (100_000, 500_000, 1_000_000), 256, (4,), ("pairs byte", "pairs bit", "multi-index")),
-    Preset("09_wide", "clustered", (200_000,), 512, (2, 8), ("pairs byte", "pairs bit")),
-    Preset("10_index", "clustered", (100_000,), 256, (2,), ("index", "nearest query")),
-    Preset("11_exact_duplicates", "duplicates", (500_000, 1_000_000, 2_000_000), 256, (0,), ("pairs byte", "pairs bit")),
-    Preset("12_tuned", "clustered", (200_000,), 256, (4,), ("pairs bit", "multi-index, tuned", "bit-sampling hash, 4 flips", "hash tables 50")),
-    Preset("13_limit", "uniform", (5_000_000, 10_000_000), 256, (2,), ("pairs byte", "pairs bit")),
-    Preset("14_very_wide", "clustered", (100_000,), 1024, (2, 8), ("pairs byte", "pairs bit")),
-    Preset("15_cross", "clustered", (200_000,), 256, (2, 4), ("cross byte", "cross bit")),
-    Preset("16_cross_phash_width", "clustered", (50_000,), 64, (2, 4), ("cross byte", "cross bit")),
+    Preset("01_sanity", "uniform", (20_000,), 256, (2,), (BYTE, BIT, "pairs adaptive", FLAT, MULTI, HASH, NEAREST, TABLES)),
+    Preset("02_phash_width", "clustered", (50_000,), 64, (2, 4), (BYTE, BIT, FLAT, MULTI, NEAREST, TABLES)),
+    Preset("03_adaptive", "low entropy", (20_000,), 256, (4,), (BYTE, BIT, "pairs adaptive", FLAT)),
+    Preset("04_high_k", "uniform", (50_000,), 256, (12, 16, 20), (BYTE, BIT, FLAT)),
+    Preset("05_scaling", "uniform", (100_000, 500_000, 1_000_000), 256, (2,), (BYTE, FLAT, MULTI)),
+    Preset("06_approximate", "clustered", (100_000,), 256, (4,), (BYTE, BIT, FLAT, MULTI, HASH, NEAREST, TABLES)),
+    Preset("07_stress", "uniform", (2_000_000,), 256, (2,), (BYTE, FLAT)),
+    Preset("08_clustered_scaling", "clustered", (100_000, 500_000, 1_000_000), 256, (4,), (BYTE, BIT, FLAT, MULTI, HASH, NEAREST, TABLES)),
+    Preset("09_wide", "clustered", (200_000,), 512, (2, 8), (BYTE, BIT, FLAT, MULTI, HASH, NEAREST)),
+    Preset("10_index", "clustered", (100_000,), 256, (2,), ("index", "brute force query", "nearest query")),
+    Preset("11_exact_duplicates", "duplicates", (500_000, 1_000_000, 2_000_000), 256, (0,), (BYTE, BIT, FLAT, MULTI)),
+    Preset("12_tuned", "clustered", (200_000,), 256, (4,), (BIT, FLAT, "multi-index, tuned", "bit-sampling hash, 4 flips", "nearest 200", "hash tables 50")),
+    Preset("13_limit", "uniform", (5_000_000, 10_000_000), 256, (2,), (BYTE, BIT)),
+    Preset("14_very_wide", "clustered", (100_000,), 1024, (2, 8), (BYTE, BIT, FLAT, MULTI, HASH, NEAREST)),
+    Preset("15_cross", "clustered", (200_000,), 256, (2, 4), CROSS),
+    Preset("16_cross_phash_width", "clustered", (50_000,), 64, (2, 4), CROSS),
 ]
 
 
@@ -201,6 +230,21 @@ def thread_sweep(threads: list[int], n: int, d_bytes: int, k: int, reps: int = 3
     return out
 
 
+def write_sweep(times: dict[int, list[float]], n: int, d_bytes: int, k: int, path: str) -> dict:
+    """A thread sweep as one JSON object: when, on what, with which settings, and a line for each number of threads."""
+    import platform
+    from datetime import UTC, datetime
+
+    sweep = {
+        "timestamp_utc": datetime.now(UTC).isoformat(timespec="seconds"),
+        "machine": {"platform": platform.platform(), "machine": platform.machine(), "python": platform.python_version()},
+        "config": {"n": n, "d_bits": 8 * d_bytes, "k": k, "reps": max(map(len, times.values()), default=0), "threads": sorted(times)},
+        "results": sweep_summary(times),
+    }
+    write_json_result(sweep, path)
+    return sweep
+
+
 def latest(results: DataFrame, count: int = 20) -> DataFrame:
     """The last rows of a session's results that have a time, slowest first: what the session's chart shows."""
     rows = results.withColumn("place", F.monotonically_increasing_id())

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from bitmesh.functions import codes as C
 from bitmesh.operators.pairs import exploded, first_agreeing
@@ -14,21 +15,49 @@ from bitmesh.plans.chunks import Plan, check
 HITS = "query_id bigint, id bigint, dist int"
 
 
+MANIFEST = "seq bigint, batch string, first bigint, rows bigint, numbers array<bigint>, replaces array<string>, d_bytes int, k int"
+
+
 class Index:
     """Codes of ``d_bytes`` bytes that can be searched for all within distance ``k``.
 
-    Each batch is one immutable folder of bucket rows, partitioned by chunk.
-    Only a batch whose rows are written whole counts, so a query reads a
-    snapshot; a batch that failed half-way is left out and can be added again.
-    Ids are dense, from 0 on, in the order of the batches.
+    Each batch is one immutable folder of bucket rows, partitioned by chunk,
+    and counts from the moment on at which its manifest entry stands, so a
+    query reads a snapshot; a batch that failed half-way has none and can be
+    added again. An index that exists at ``path`` is opened with all its
+    batches; ``refresh`` takes in what another session has added meanwhile.
+    One session may add at a time, any number may search. Ids are dense, from
+    0 on, in the order of the batches.
     """
 
     def __init__(self, spark: SparkSession, path: str, d_bytes: int, k: int):
         check(k, d_bytes, True)
         self.spark, self.path, self.d_bytes, self.k = spark, path.rstrip("/"), d_bytes, k
         self.plan = Plan.from_bits(d_bytes, k)
-        self.batches: list[str] = []
-        self.n = 0
+        self.refresh()
+
+    def _exists(self, path: str) -> bool:
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(found)
+
+    def refresh(self) -> None:
+        """Reads the manifest: one small entry for each batch."""
+        rows = []
+        if self._exists(f"{self.path}/manifest"):
+            rows = sorted(self.spark.read.option("recursiveFileLookup", True).schema(MANIFEST).json(f"{self.path}/manifest").collect(), key=lambda r: r["seq"])
+        for r in rows:
+            if (r["d_bytes"], r["k"]) != (self.d_bytes, self.k):
+                raise ValueError(f"the index at {self.path} is for {r['d_bytes']} bytes and k={r['k']}")
+        gone = {name for r in rows for name in r["replaces"]}
+        self.seq = len(rows)
+        self.batches = [r["batch"] for r in rows if r["batch"] not in gone]
+        self.numbers = {number: r["first"] for r in rows if not r["replaces"] for number in r["numbers"]}
+        self.n = sum(r["rows"] for r in rows if r["batch"] not in gone)
+
+    def _commit(self, batch: str, first: int, rows: int, numbers: list[int], replaces: list[str]) -> None:
+        entry = self.spark.createDataFrame([(self.seq, batch, first, rows, numbers, replaces, self.d_bytes, self.k)], MANIFEST)
+        entry.coalesce(1).write.json(f"{self.path}/manifest/{self.seq:09d}")
+        self.refresh()
 
     def __len__(self) -> int:
         return self.n
@@ -47,18 +76,21 @@ class Index:
         """Adds one code and returns its id."""
         return self.add_batch(self.spark.createDataFrame([(0, bytearray(code))], "id bigint, code binary"))
 
-    def add_batch(self, rows: DataFrame, order: str = "id") -> int | None:
+    def add_batch(self, rows: DataFrame, order: str = "id", number: int | None = None) -> int | None:
         """Adds all codes, numbered by ``order``; returns the first new id, or None for an empty batch.
 
-        Numbers come from sorted partitions and their sizes, not from one
-        sorted task.
+        Ids come from sorted partitions and their sizes, not from one sorted
+        task. A batch with a ``number``, as streams give it, is added once: if
+        the index has it already, its first id is returned.
         """
+        if number is not None and number in self.numbers:
+            return self.numbers[number]
         self._checked(rows)
-        path = f"{self.path}/{len(self.batches):06d}-{uuid.uuid4().hex}"
+        batch = uuid.uuid4().hex
+        staged = f"{self.path}/codes/{batch}"
         sorted_ = rows.select(F.col(order).alias("o"), "code").sort("o", "code")
-        staged = f"{path}/codes"
         sorted_.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()).write.parquet(staged)
-        kept = self.spark.read.parquet(staged)
+        kept = self.spark.read.schema(StructType([*sorted_.schema, StructField("part", IntegerType()), StructField("seq", LongType())])).parquet(staged)
         sizes = kept.groupBy("part").agg(F.count("*").alias("c"), F.min("seq").alias("s"))
         before = F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         sizes = sizes.select("part", "s", "c", before.alias("before"))
@@ -66,22 +98,29 @@ class Index:
         if not total:
             return None
         numbered = kept.join(F.broadcast(sizes), "part").select((F.col("seq") - F.col("s") + F.col("before") + self.n).alias("id"), "code")  # one row for each partition
-        words = C.to_words(numbered, self.d_bytes)
-        exploded(words, self.plan).write.partitionBy("pos").parquet(f"{path}/buckets")
-        first, self.n = self.n, self.n + total
-        self.batches.append(path)
+        self._write(exploded(C.to_words(numbered, self.d_bytes), self.plan), batch)
+        first = self.n
+        self._commit(batch, first, total, [] if number is None else [number], [])
         return first
 
+    def _write(self, rows: DataFrame, batch: str) -> None:
+        rows.write.partitionBy("pos").parquet(f"{self.path}/buckets/batch={batch}")
+
+    def _buckets(self) -> DataFrame:
+        """The bucket rows of all batches, by one scan."""
+        return self.spark.read.option("basePath", f"{self.path}/buckets").parquet(*[f"{self.path}/buckets/batch={b}" for b in self.batches]).drop("batch")
+
+    def compact(self) -> None:
+        """Rewrites all batches as one. Older snapshots still find their folders."""
+        if len(self.batches) > 1:
+            batch, old, n = uuid.uuid4().hex, self.batches, self.n
+            self._write(self._buckets().repartition("pos"), batch)
+            self._commit(batch, 0, n, [], old)
+
     def _hits(self, queries: DataFrame) -> DataFrame:
         names = C.word_names(self.d_bytes)
         asked = exploded(C.to_words(queries, self.d_bytes), self.plan).alias("q")
-        stored = self.spark.read.parquet(*[f"{b}/buckets" for b in self.batches]) if len(self.batches) == 1 else None
-        if stored is None:
-            parts = [self.spark.read.parquet(f"{b}/buckets") for b in self.batches]
-            stored = parts[0]
-            for p in parts[1:]:
-                stored = stored.unionByName(p)
-        stored = stored.alias("s")
+        stored = self._buckets().alias("s")
         x, y = [F.col(f"q.{n}") for n in names], [F.col(f"s.{n}") for n in names]
         on = F.col("q.pos") == F.col("s.pos")
         for i in range(max(len(m) for m in self.plan.masks())):

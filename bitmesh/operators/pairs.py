@@ -23,12 +23,19 @@ from bitmesh.plans.chunks import SAMPLE_ROWS, Plan, bit_entropies, check, is_sup
 SCHEMA = "i bigint, j bigint, dist int"
 
 
-def _width(a: DataFrame, b: DataFrame | None = None) -> int:
-    """Width of the codes in bytes, 0 if there are none. TypeError and ValueError for what can't be joined."""
+def _width(a: DataFrame, b: DataFrame | None = None, d_bytes: int | None = None) -> int:
+    """Width of the codes in bytes, 0 if there are none. TypeError and ValueError for what can't be joined.
+
+    Without ``d_bytes`` this reads the tables once. With it nothing is read
+    here; codes of another width stop the query that the join is part of.
+    """
     C.require_binary(a)
-    width = C.code_width(a)
     if b is not None:
         C.require_binary(b)
+    if d_bytes is not None:
+        return d_bytes
+    width = C.code_width(a)
+    if b is not None:
         other = C.code_width(b)
         if width and other and width != other:
             raise ValueError(f"codes have different widths: {width} and {other} bytes")
@@ -91,9 +98,9 @@ def _self(codes: DataFrame, width: int, plan: Plan, k: int) -> DataFrame:
     return _joined(words, words, plan, k, True)
 
 
-def find_pairs_self(codes: DataFrame, k: int) -> DataFrame:
+def find_pairs_self(codes: DataFrame, k: int, d_bytes: int | None = None) -> DataFrame:
     """All pairs i < j at distance k at most, by byte-aligned chunks; k must be under the width in bytes."""
-    width = _width(codes)
+    width = _width(codes, None, d_bytes)
     if not width:
         check(k, max(k, 0) + 1, False)
         return _empty(codes)
@@ -101,17 +108,17 @@ def find_pairs_self(codes: DataFrame, k: int) -> DataFrame:
     return _self(codes, width, Plan.from_bytes(width, k), k)
 
 
-def try_find_pairs_self(codes: DataFrame, k: int) -> tuple[DataFrame | None, ValueError | None]:
+def try_find_pairs_self(codes: DataFrame, k: int, d_bytes: int | None = None) -> tuple[DataFrame | None, ValueError | None]:
     """The pairs and no error, or no pairs and the error."""
     try:
-        return find_pairs_self(codes, k), None
+        return find_pairs_self(codes, k, d_bytes), None
     except ValueError as e:
         return None, e
 
 
-def find_pairs_self_bit(codes: DataFrame, k: int) -> DataFrame:
+def find_pairs_self_bit(codes: DataFrame, k: int, d_bytes: int | None = None) -> DataFrame:
     """All pairs by bit-aligned chunks; k must be under the width in bits."""
-    width = _width(codes)
+    width = _width(codes, None, d_bytes)
     if not width:
         check(k, max(k, 0) + 1, True)
         return _empty(codes)
@@ -131,9 +138,9 @@ def adaptive_plan(codes: DataFrame, width: int, k: int) -> Plan:
     return Plan.adaptive(width, k, bit_entropies(sample_codes(codes, width)))
 
 
-def find_pairs_self_adaptive(codes: DataFrame, k: int) -> DataFrame:
+def find_pairs_self_adaptive(codes: DataFrame, k: int, d_bytes: int | None = None) -> DataFrame:
     """All pairs by chunks of equal entropy, which a bounded sample tells; constant bits take no part. The result is exact under any plan."""
-    width = _width(codes)
+    width = _width(codes, None, d_bytes)
     if not width:
         check(k, max(k, 0) + 1, True)
         return _empty(codes)
@@ -150,47 +157,46 @@ def choose_plan(codes: DataFrame, width: int, k: int) -> Plan:
     return min((Plan.from_bits(width, k), Plan.adaptive(width, k, bit_entropies(sample))), key=lambda p: p.candidates(sample))
 
 
-def find_pairs_self_auto(codes: DataFrame, k: int) -> DataFrame:
+def find_pairs_self_auto(codes: DataFrame, k: int, d_bytes: int | None = None) -> DataFrame:
     """All pairs by the plan that seems cheapest."""
-    width = _width(codes)
+    width = _width(codes, None, d_bytes)
     if not width:
         return _empty(codes)
     check(k, width, True)
     return _self(codes, width, choose_plan(codes, width, k), k)
 
 
-def find_pairs_qgram_self(codes: DataFrame, k: int, q: int) -> DataFrame:
-    """All pairs by a count filter: codes at distance k share at least (bits - q + 1) - k * q of their q-bit windows at equal places.
+def gram_places(bits: int, k: int, q: int) -> list[int]:
+    """Places of which k * q + 1 are enough: k differing bits touch k * q windows at most, so codes within k agree at one of any k * q + 1 places. Spread over the whole code."""
+    every = bits - q + 1
+    some = k * q + 1
+    return sorted({i * (every - 1) // max(some - 1, 1) for i in range(some)})
+
 
-    Where that bound is 0 or less, every pair is a candidate and the bit path is taken.
+def find_pairs_qgram_self(codes: DataFrame, k: int, q: int, d_bytes: int | None = None) -> DataFrame:
+    """All pairs by their q-bit windows at equal places, of which codes at distance k share at least (bits - q + 1) - k * q.
+
+    Only a prefix of k * q + 1 places is posted, one of which every such pair
+    shares; a pair is taken at the first place where it agrees, if its
+    distance allows. Where the bound is 0 or less, every pair is a candidate
+    and the bit path is taken.
     """
-    width = _width(codes)
+    width = _width(codes, None, d_bytes)
     if not width:
         return _empty(codes)
     check(k, width, True)
     bits = 8 * width
     if not 1 <= q <= min(16, bits):
         raise ValueError(f"q must be from 1 to {min(16, bits)}, not {q}")
-    least = (bits - q + 1) - k * q
-    if least <= 0:
-        return find_pairs_self_bit(codes, k)
-    names = C.word_names(width)
-    words = C.to_words(codes, width)
-    grams = F.array(*[C.gram_at([F.col(n) for n in names], p, q, width) for p in range(bits - q + 1)])
-    posted = words.select("id", F.posexplode(grams).alias("p", "g"))
-    # windows that all codes share at a place tell nothing, but count; candidates come from the others
-    a, b = posted.alias("a"), posted.alias("b")
-    shared = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")))
-    shared = shared.groupBy(F.col("a.id").alias("i"), F.col("b.id").alias("j")).agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    x, y = words.alias("x"), words.alias("y")
-    dist = C.hamming([F.col(f"x.{n}") for n in names], [F.col(f"y.{n}") for n in names]).cast("int")
-    found = shared.join(x, F.col("i") == F.col("x.id")).join(y, F.col("j") == F.col("y.id"))
-    return found.where(dist <= k).select("i", "j", dist.alias("dist")).distinct()
-
-
-def find_pairs_brute(codes: DataFrame, k: int) -> DataFrame:
+    if (bits - q + 1) - k * q <= 0:
+        return find_pairs_self_bit(codes, k, width)
+    plan = Plan(width, tuple(tuple(range(p, p + q)) for p in gram_places(bits, k, q)))
+    return _self(codes, width, plan, k)
+
+
+def find_pairs_brute(codes: DataFrame, k: int, d_bytes: int | None = None) -> DataFrame:
     """All pairs by comparing each with each: the baseline that the other paths are checked against."""
-    width = _width(codes)
+    width = _width(codes, None, d_bytes)
     if not width:
         return _empty(codes)
     words = C.to_words(codes, width)
@@ -207,8 +213,8 @@ def _nested(left: DataFrame, right: DataFrame, width: int, k: int, own: bool) ->
     return a.join(b, on).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), dist.cast("int").alias("dist"))
 
 
-def _cross(a: DataFrame, b: DataFrame, k: int, bits: bool) -> DataFrame:
-    width = _width(a, b)
+def _cross(a: DataFrame, b: DataFrame, k: int, bits: bool, d_bytes: int | None) -> DataFrame:
+    width = _width(a, b, d_bytes)
     if not width:
         check(k, max(k, 0) + 1, bits)
         return _empty(a)
@@ -217,43 +223,43 @@ def _cross(a: DataFrame, b: DataFrame, k: int, bits: bool) -> DataFrame:
     return _joined(C.to_words(a, width), C.to_words(b, width), plan, k, False)
 
 
-def find_pairs_cross(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+def find_pairs_cross(a: DataFrame, b: DataFrame, k: int, d_bytes: int | None = None) -> DataFrame:
     """All (i from a, j from b) at distance k at most, by byte-aligned chunks. Equal ids pair too."""
-    return _cross(a, b, k, False)
+    return _cross(a, b, k, False, d_bytes)
 
 
-def find_pairs_cross_bit(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+def find_pairs_cross_bit(a: DataFrame, b: DataFrame, k: int, d_bytes: int | None = None) -> DataFrame:
     """The same by bit-aligned chunks."""
-    return _cross(a, b, k, True)
+    return _cross(a, b, k, True, d_bytes)
 
 
-def find_pairs_cross_brute(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    width = _width(a, b)
+def find_pairs_cross_brute(a: DataFrame, b: DataFrame, k: int, d_bytes: int | None = None) -> DataFrame:
+    width = _width(a, b, d_bytes)
     return _nested(C.to_words(a, width), C.to_words(b, width), width, k, False) if width else _empty(a)
 
 
-def find_pairs_within(a: DataFrame, k: int, b: DataFrame | None = None, return_distances: bool = True) -> DataFrame:
+def find_pairs_within(a: DataFrame, k: int, b: DataFrame | None = None, return_distances: bool = True, d_bytes: int | None = None) -> DataFrame:
     """Self-join, or cross join if b is given, for any k from 0 on: chunks where they can be exact, else every pair."""
     if k < 0:
         raise ValueError("k must not be negative")
-    width = _width(a, b)
+    width = _width(a, b, d_bytes)
     if not width:
         found = _empty(a)
     elif is_supported_bit(k, width):
-        found = find_pairs_self_bit(a, k) if b is None else find_pairs_cross_bit(a, b, k)
+        found = find_pairs_self_bit(a, k, width) if b is None else find_pairs_cross_bit(a, b, k, width)
     else:
-        found = find_pairs_brute(a, k) if b is None else find_pairs_cross_brute(a, b, k)
+        found = find_pairs_brute(a, k, width) if b is None else find_pairs_cross_brute(a, b, k, width)
     return found if return_distances else found.select("i", "j")
 
 
-def near(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+def near(a: DataFrame, b: DataFrame, k: int, d_bytes: int | None = None) -> DataFrame:
     """Rows of a that have a code of b within k: a semi join."""
-    return a.join(find_pairs_within(a, k, b).select(F.col("i").alias("id")).distinct(), "id", "left_semi")
+    return a.join(find_pairs_within(a, k, b, d_bytes=d_bytes).select(F.col("i").alias("id")).distinct(), "id", "left_semi")
 
 
-def not_near(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+def not_near(a: DataFrame, b: DataFrame, k: int, d_bytes: int | None = None) -> DataFrame:
     """Rows of a without a code of b within k: an anti join, as for a batch against a list of known codes."""
-    return a.join(find_pairs_within(a, k, b).select(F.col("i").alias("id")).distinct(), "id", "left_anti")
+    return a.join(find_pairs_within(a, k, b, d_bytes=d_bytes).select(F.col("i").alias("id")).distinct(), "id", "left_anti")
 
 
 #: Further names of the same self-join; how it is run is the optimizer's matter.

@@ -17,15 +17,12 @@ def clustered(n: int, d_bytes: int, centroids: int = 10, dup_fraction: float = 0
     """Uniform codes of which a fraction are copies of the first few with some bits flipped; the same bit may flip twice."""
     rng = np.random.default_rng(seed)
     out = rng.integers(0, 256, (n, d_bytes), np.uint8)
-    copies = int((n - centroids) * dup_fraction)
-    if copies > 0:
-        heads = out[:centroids].copy()
-        for row in rng.choice(n - centroids, copies, replace=False) + centroids:
-            code = heads[rng.integers(0, centroids)].copy()
-            for _ in range(max(1, int(rng.poisson(noise_bits)))):
-                byte, bit = divmod(int(rng.integers(0, 8 * d_bytes)), 8)
-                code[byte] ^= 1 << bit
-            out[row] = code
+    rows = rng.choice(n - centroids, copies, replace=False) + centroids if (copies := int((n - centroids) * dup_fraction)) > 0 else np.zeros(0, np.int64)
+    # numbers are drawn row by row, as the published counts need it; rows are made from them all at once
+    drawn = [(rng.integers(0, centroids), rng.integers(0, 8 * d_bytes, max(1, int(rng.poisson(noise_bits))))) for _ in rows]
+    out[rows] = out[[head for head, _ in drawn]]
+    places = np.concatenate([p for _, p in drawn]) if drawn else np.zeros(0, np.int64)
+    np.bitwise_xor.at(out, (np.repeat(rows, [len(p) for _, p in drawn]), places // 8), (1 << places % 8).astype(np.uint8))
     return out
 
 
@@ -42,10 +39,10 @@ def with_duplicates(n: int, d_bytes: int, dup_fraction: float = 0.01, seed: int
     """Uniform codes, some overwritten by others, one after the other."""
     rng = np.random.default_rng(seed)
     out = rng.integers(0, 256, (n, d_bytes), np.uint8)
-    for _ in range(int(n * dup_fraction)):
-        source, target = int(rng.integers(0, n)), int(rng.integers(0, n))
-        out[target] = out[source]
-    return out
+    origin = np.arange(n)
+    for source, target in rng.integers(0, n, (int(n * dup_fraction), 2)).tolist():
+        origin[target] = origin[source]
+    return out[origin]
 
 
 def xorshift_bytes(n: int, d_bytes: int, seed: int) -> np.ndarray:

@@ -57,14 +57,17 @@ def within_time(stream: DataFrame, other: DataFrame, k: int, d_bytes: int, time:
 def into_index(stream: DataFrame, index: Index, emit: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None):
     """Feeds a stream into an index, batch by batch: each batch is searched for in what came before and then added.
 
-    ``emit(hits, batch)`` gets ``query_id, id, dist`` for each batch before it
-    is added. Returns the writer, to be started by the caller.
+    ``emit(hits, batch)`` gets ``query_id, id, dist`` for each batch. The
+    batch's number goes with it into the index, so a batch that a restarted
+    stream repeats is searched for in the same codes and not added again.
+    Returns the writer, to be started by the caller.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         if emit is not None:
-            emit(index.query_batch(batch, nested=False), number)
-        index.add_batch(batch)
+            found = index.query_batch(batch, nested=False)
+            emit(found.where(F.col("id") < index.numbers[number]) if number in index.numbers else found, number)
+        index.add_batch(batch, number=number)
 
     writer = stream.writeStream.foreachBatch(step)
     return writer.option("checkpointLocation", checkpoint) if checkpoint else writer

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +47,36 @@ def test_index_equals_self_join(spark, tmp_path):
     assert to_tuples(found) == to_tuples(pairs.find_pairs_self(codes, 2)) != []
 
 
+def test_index_is_opened_again(spark, tmp_path):
+    a = generate.clustered(90, 8, dup_fraction=0.5, noise_bits=1)
+    path = f"file://{tmp_path}/again"
+    assert Index(spark, path, 8, 2).add_batch(from_numpy(spark, a[:30]), number=0) == 0
+    index = Index(spark, path, 8, 2)
+    assert len(index) == 30 and index.add_batch(from_numpy(spark, a[:30]), number=0) == 0 and len(index) == 30
+    assert index.add_batch(from_numpy(spark, a[30:80])) == 30 and index.add(a[80].tobytes()) == 80
+    other = Index(spark, path, 8, 2)
+    other.compact()
+    assert len(other.batches) == 1 and len(other) == 81 and other.numbers == {0: 0}
+    assert index.query(a[5].tobytes()) == hits(a[:81], a[5], 2)  # an older snapshot goes on
+    index.refresh()
+    assert index.batches == other.batches and index.add_batch(from_numpy(spark, a[81:])) == 81
+    found = Index(spark, path, 8, 2)
+    assert [found.query(c.tobytes()) for c in a[::9]] == [hits(a, c, 2) for c in a[::9]]
+    with pytest.raises(ValueError):
+        Index(spark, path, 8, 3)
+
+
+def test_a_batch_without_a_manifest_entry_does_not_count(spark, tmp_path):
+    a = generate.clustered(40, 8, dup_fraction=0.5, noise_bits=1)
+    path = f"file://{tmp_path}/half"
+    index = Index(spark, path, 8, 2)
+    index._commit = lambda *rest: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        index.add_batch(from_numpy(spark, a))
+    index = Index(spark, path, 8, 2)
+    assert index.is_empty and index.add_batch(from_numpy(spark, a)) == 0 and index.query(a[0].tobytes()) == hits(a, a[0], 2)
+
+
 def _source(spark, tmp_path, a, name="in"):
     times = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60)
     from_numpy(spark, a).withColumn("ts", times).write.parquet(f"{tmp_path}/{name}")
@@ -77,6 +109,18 @@ def test_stream_into_index(spark, tmp_path):
     assert len(index) == 40 and seen
 
 
+def test_restarted_stream_repeats_a_batch_without_adding_it_again(spark, tmp_path):
+    a = generate.clustered(40, 8, dup_fraction=0.5, noise_bits=1)
+    path, seen = f"file://{tmp_path}/restart", []
+    emit = lambda found, n: seen.append(to_tuples(found))
+    for part in (a[:25], a):  # the second run has a new file; a lost checkpoint makes it repeat the first batch
+        stream = _source(spark, tmp_path, part[-25:] if len(part) == 25 else part[25:], f"in{len(part)}")
+        into_index(stream().select("id", "code"), Index(spark, path, 8, 2), emit, f"{tmp_path}/ck{len(part)}").trigger(availableNow=True).start().awaitTermination()
+    assert len(Index(spark, path, 8, 2)) == 25  # both runs call their batch 0
+    again = Index(spark, path, 8, 2)
+    assert again.add_batch(from_numpy(spark, a[25:]), number=1) == 25 and len(again) == 40
+
+
 def test_record_files(spark, tmp_path):
     a = generate.xorshift_bytes(25, 8, 3)
     path = f"{tmp_path}/codes.bin"
@@ -112,4 +156,29 @@ def test_harness(spark, tmp_path):
     codes_io.write_json_result({"a": 1, "_pairs": {1}}, f"{tmp_path}/r.json")
     assert "_pairs" not in open(f"{tmp_path}/r.json").read()
     s = harness.sweep_summary({1: [2.0, 2.2, 2.1], 4: [1.0, 0.7, 0.9]})
+    told = harness.write_sweep({1: [2.0, 2.2, 2.1], 4: [1.0, 0.7, 0.9]}, 1000, 32, 2, f"{tmp_path}/sweep.json")
+    assert told == json.load(open(f"{tmp_path}/sweep.json")) and told["results"] == s and told["config"]["threads"] == [1, 4]
     assert s[1]["speedup"] == pytest.approx(2.1 / 0.9) and s[1]["efficiency"] == pytest.approx(2.1 / 0.9 / 4)
+
+
+def test_every_held_out_query_is_timed(spark):
+    codes = from_numpy(spark, generate.clustered(600, 8, noise_bits=1)).cache()
+    for row in harness.run(codes, "clustered", 600, 64, 2, harness.list_methods("streaming-index")):
+        assert row[-1].get("queries") == "12.000000" and "error" not in row[-1], row
+    codes.unpersist()
+
+
+def test_presets_name_methods():
+    names = set(harness.list_methods())
+    assert all(set(p.methods) <= names for p in harness.PRESETS)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from bitmesh.sources.shared import shared_folder
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(RuntimeError):
+        shared_folder(cluster)

@@ -185,3 +185,31 @@ def test_nearest(spark):
         got.setdefault(r["query_id"], []).append((r["dist"], r["id"]))
     for q, hits in got.items():
         assert sorted(hits) == sorted((int(d[q, j]), j) for j in range(60))[:4]
+
+
+def test_known_width_reads_nothing_and_checks_in_the_plan(spark):
+    a = planted(40, 8, 3)
+    codes = from_numpy(spark, a)
+    for join in (pairs.find_pairs_self, pairs.find_pairs_self_bit, pairs.find_pairs_self_adaptive, pairs.find_pairs_self_auto, pairs.find_pairs_brute):
+        assert to_tuples(join(codes, 3, 8)) == brute(a, k=3)
+    assert to_tuples(pairs.find_pairs_cross_bit(codes, codes, 3, 8)) == brute(a, a, 3)
+    for bad in ([(0, b"ab"), (1, b"abc")], [(0, b"ab"), (1, None)]):
+        with pytest.raises(Exception, match="a code has not 2 bytes"):
+            pairs.find_pairs_self(spark.createDataFrame(bad, "id bigint, code binary"), 0, 2).collect()
+
+
+def test_gram_places_are_enough():
+    for bits, k, q in ((64, 3, 10), (104, 3, 8), (64, 0, 5), (512, 9, 16)):
+        places = pairs.gram_places(bits, k, q)
+        assert len(places) == k * q + 1 and places[0] == 0 and max(places) <= bits - q
+
+
+def test_nearest_by_growing_radius(spark):
+    a = generate.clustered(300, 16, dup_fraction=0.6, noise_bits=1)
+    codes = from_numpy(spark, a)
+    d = np.unpackbits(a[:, None] ^ a[None], axis=2).sum(axis=2)
+    got = {}
+    for r in approx.nearest(codes.where("id < 40"), codes, 3).collect():
+        got.setdefault(r["query_id"], []).append((r["place"], r["dist"], r["id"]))
+    for q in range(40):
+        assert [x[1:] for x in sorted(got[q])] == sorted((int(d[q, j]), j) for j in range(300))[:3]

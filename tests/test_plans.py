@@ -1,23 +1,31 @@
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from bitmesh.plans import chunks as P
 
 
-def test_byte_edges():
-    assert P.chunk_boundaries(32, 3) == [(0, 10), (10, 21), (21, 32)]
-    assert P.chunk_boundaries(32, 2) == [(0, 16), (16, 32)]
-    assert P.chunk_boundaries(16, 4) == [(0, 4), (4, 8), (8, 12), (12, 16)]
-    assert len(P.chunk_boundaries(3, 8)) == 3
-
-
-def test_bit_edges():
-    assert P.chunk_bit_boundaries(64, 3) == [(0, 21), (21, 42), (42, 64)]
-    assert P.bit_chunks_for(256, 3) == [(0, 64), (64, 128), (128, 192), (192, 256)]
-    assert sum(b - a for a, b in P.bit_chunks_for(64, 8)) == 64
-    assert len(P.bit_chunks_for(64, 8)) == 9
-    assert P.bit_chunks_for(1024, 0) == [(0, 128)]
-    assert len(P.bit_chunks_for(1024, 2)) == 8
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 300), st.integers(0, 40))
+def test_ranges_cover_all_and_differ_by_one_at_most(total, parts):
+    found = P.chunk_boundaries(total, parts)
+    assert found == P.chunk_bit_boundaries(total, parts)
+    sizes = [b - a for a, b in found]
+    assert len(found) == min(total, parts) and sum(sizes) == (total if parts else 0)
+    assert all(x[1] == y[0] for x, y in zip(found, found[1:])) and max(sizes, default=0) - min(sizes, default=0) <= 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 130), st.integers(0, 70))
+def test_bit_chunks_are_enough_and_short(d_bytes, k):
+    found = P.bit_chunks_for(8 * d_bytes, k)
+    assert all(0 < b - a <= P.MAX_KEY_BITS for a, b in found)
+    if k:
+        assert len(found) > k or 8 * d_bytes <= k
+        assert sum(b - a for a, b in found) == 8 * d_bytes
+    else:
+        assert found[0][0] == 0
 
 
 def test_regimes():
