@@ -21,6 +21,8 @@ independent hashes.
    never a pair.
 6. The sets of what is left are compared whole.
 
+Joins of tables that grow with the input are sort merge joins at every size,
+so the plan measured on a small input is the one that runs on a large one.
 A hub goes to one task for about HUB_ROWS of its partners, and every set is
 streamed, so neither a large group nor a long text fills a worker.
 
@@ -49,7 +51,7 @@ MOST_FREQUENT = 1 << 20
 #: Bytes of fingerprints that one counting task holds at about.
 COUNT_BYTES = 12 << 20
 #: Classes that are compared with a hub in one task at about.
-HUB_ROWS = 1000
+HUB_ROWS = 256
 #: Tasks that one document's partners of the last step are dealt to.
 REST_SALTS = 8
 #: Random hubs of a large group at most, and nodes that make a bucket large.
@@ -238,8 +240,8 @@ def _meet_here(x: str, y: str) -> Column:
 
 def _candidates(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """Those of the pairs ``hub, node, salt`` whose prefixes meet under every further order."""
-    hubs = pairs.select("hub", "salt").distinct().join(marks.select(F.col("doc").alias("hub"), F.col("p1").alias("q1"), F.col("p2").alias("q2")), "hub")
-    both = pairs.join(marks.withColumnRenamed("doc", "node"), "node").join(hubs, ["hub", "salt"])
+    hubs = pairs.select("hub", "salt").distinct().join(marks.select(F.col("doc").alias("hub"), F.col("p1").alias("q1"), F.col("p2").alias("q2")).hint("merge"), "hub")
+    both = pairs.join(marks.withColumnRenamed("doc", "node").hint("merge"), "node").join(hubs.hint("merge"), ["hub", "salt"])
     return both.where(F.arrays_overlap("p1", "q1") & F.arrays_overlap("p2", "q2")).select("hub", "node", "salt")
 
 
@@ -251,7 +253,7 @@ def _compare(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     the bytes of one message, however many tasks need a set.
     """
     needs = pairs.select(F.col("node").alias("doc"), "hub", "salt", F.lit(1).alias("side")).unionByName(pairs.select(F.col("hub").alias("doc"), "hub", "salt", F.lit(0).alias("side")).distinct())
-    sent = needs.join(sets, "doc").select("hub", "salt", "side", "doc", "set")
+    sent = needs.join(sets.hint("merge"), "doc").select("hub", "salt", "side", "doc", "set")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = sent.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "side", "doc")
 
@@ -283,11 +285,12 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(nodes, "doc", "left_semi").mapInArrow(W.frugal(run), "doc long, set binary")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
-    """Compares the pairs that are candidates under every further order too."""
+def _verify(docs: DataFrame, pairs: DataFrame, marks: DataFrame, scratch: Scratch, repeated: bool) -> DataFrame:
+    """Compares the pairs that are candidates under every further order too; ``repeated`` tells whether rows may share a key, and with it their text."""
     pairs = scratch.keep(_candidates(pairs, marks))
     nodes = scratch.keep(pairs.select(F.explode(F.array("hub", "node")).alias("doc")).distinct())
-    return _compare(_sets(docs, nodes), pairs)
+    sets = _sets(docs, nodes)
+    return _compare(sets.dropDuplicates(["doc"]) if repeated else sets, pairs)
 
 
 LINKED = f"100 * shared >= {PERCENT} * (n + m - shared)"
@@ -312,7 +315,7 @@ def link(docs: DataFrame) -> DataFrame:
     """
     key, shared = row_key(docs)
     scratch = Scratch(docs.sparkSession)
-    out = _reach(docs, key, scratch, by_id=shared)
+    out = _reach(docs, key, scratch, by_id=shared, repeated=shared)
     label = F.col("component")
     if shared:
         out = scratch.keep(out)
@@ -321,12 +324,12 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"))
 
 
-def link_rows(docs: DataFrame, key: Column) -> DataFrame:
+def link_rows(docs: DataFrame, key: Column, repeated: bool = True) -> DataFrame:
     """``row, doc_id, n, component`` by the texts of rows alone, whatever ids they share: ``row`` is the key of row_key, ``component`` the smallest one that links reach."""
-    return _reach(docs, key, Scratch(docs.sparkSession), by_id=False)
+    return _reach(docs, key, Scratch(docs.sparkSession), by_id=False, repeated=repeated)
 
 
-def _reach(docs: DataFrame, key: Column, scratch: Scratch, by_id: bool) -> DataFrame:
+def _reach(docs: DataFrame, key: Column, scratch: Scratch, by_id: bool, repeated: bool) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     every = docs.select(key.alias("doc"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -336,35 +339,39 @@ def _reach(docs: DataFrame, key: Column, scratch: Scratch, by_id: bool) -> DataF
     frequent = spark.sparkContext.broadcast(_frequent(own, tokens))  # at most MOST_FREQUENT numbers and their counts
     scratch.tidy()
     classes = scratch.keep(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("node")))
-    member = scratch.keep(sets.where("n > 0").join(classes, ["k1", "k2", "n"]).select("doc", "node", "n").distinct())
+    member = scratch.keep(sets.where("n > 0").join(classes.hint("merge"), ["k1", "k2", "n"]).select("doc", "node", "n").distinct())
     every_posted = scratch.keep(_postings(own, frequent))
     posted = every_posted.where("token IS NOT NULL").drop("p1", "p2")
     marks = every_posted.where("token IS NULL").select(F.col("node").alias("doc"), "p1", "p2")
     common = posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     met = posted.join(common.hint("shuffle_hash"), "token", "left_semi").withColumnRenamed("node", "doc")
-    met = scratch.keep(met.join(member, ["doc", "n"]).select("token", "late", "node", "n", "rare", "place").distinct())
+    shared = scratch.keep(met.join(member.hint("merge"), ["doc", "n"]).select("token", "late", "node", "n", "rare", "place").distinct())
+    nodes = scratch.keep(shared.select(F.col("node").alias("doc")).distinct())
+    marks = scratch.keep(marks.join(nodes, "doc", "left_semi").dropDuplicates(["doc"]) if repeated else marks.join(nodes, "doc", "left_semi"))
+    scratch.drop(every_posted)
     # The node with the fewest rare tokens stands in the middle of its group. Some tokens of large groups have other hubs, by HUBS random orders.
     order = F.pmod(F.xxhash64("token"), F.lit(2 * HUBS)).cast("int")
     middle = F.shiftleft(F.col("rare").cast("long"), 40).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1)))
-    hubs = met.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c"), F.min_by("node", middle).alias("m"), F.min_by("node", F.xxhash64("node", order)).alias("r")).where("lo <> hi")
+    hubs = shared.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c"), F.min_by("node", middle).alias("m"), F.min_by("node", F.xxhash64("node", order)).alias("r")).where("lo <> hi")
     hubs = hubs.select("token", "c", F.when((F.col("c") >= LARGE) & (order < HUBS), F.col("r")).otherwise(F.col("m")).alias("hub"))
-    met = scratch.keep(met.join(hubs, "token"))
+    met = scratch.keep(shared.join(hubs.hint("merge"), "token"))
+    scratch.drop(shared)
     x, y = met.alias("x"), met.where("node = hub").select("token", "n", "rare").alias("y")
-    star = x.where("node <> hub").join(y, F.col("x.token") == F.col("y.token")).where(_may_link("x", "y")).select("x.hub", "x.node", "x.c")
+    star = x.where("node <> hub").join(y.hint("merge"), F.col("x.token") == F.col("y.token")).where(_may_link("x", "y")).select("x.hub", "x.node", "x.c")
     # a pair that meets under several tokens is dealt by its larger bucket's hub, in as many salts as that bucket asks for
     star = star.groupBy(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).agg(F.max(F.struct("c", "hub")).alias("h"))
     salt = F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("h.c") / HUB_ROWS)).cast("int").alias("salt")
     star = scratch.keep(star.select(F.col("h.hub").alias("hub"), F.when(F.col("a") == F.col("h.hub"), F.col("b")).otherwise(F.col("a")).alias("node"), salt))
-    compared = scratch.keep(_verify(own, star, marks, scratch))
+    compared = scratch.keep(_verify(own, star, marks, scratch, repeated))
     links = compared.where(LINKED).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     parts = scratch.keep(connected(links, scratch))
 
     # buckets whose classes are not connected yet
     apart = (F.col("n") + F.col("m") - 2 * F.col("shared")) / (F.col("n") + F.col("m") - F.col("shared"))
     distance = compared.select("hub", "node", apart.alias("d")).unionByName(compared.select(F.col("node").alias("hub"), F.col("hub").alias("node"), apart.alias("d")))
-    open_ = met.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    open_ = met.join(parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     mixed = open_.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    open_ = open_.join(mixed, "token", "left_semi").join(distance, ["hub", "node"], "left")
+    open_ = open_.join(mixed.hint("merge"), "token", "left_semi").join(distance.hint("merge"), ["hub", "node"], "left")
     open_ = scratch.keep(open_.select("token", "late", "node", "n", "rare", "place", "part", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("d")).alias("d")))
     x, y = open_.alias("x"), open_.alias("y")
     near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
@@ -382,8 +389,7 @@ def _reach(docs: DataFrame, key: Column, scratch: Scratch, by_id: bool) -> DataF
     seen = star.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     rest = rest.where(F.col("c") >= need).select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
     rest = scratch.keep(rest.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.lit(REST_SALTS)).cast("int").alias("salt")))
-    more = scratch.keep(_verify(own, rest, marks, scratch).where(LINKED).select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    scratch.drop(every_posted)
+    more = scratch.keep(_verify(own, rest, marks, scratch, repeated).where(LINKED).select(F.col("hub").alias("a"), F.col("node").alias("b")))
     copies = member.where("doc <> node").select(F.col("node").alias("a"), F.col("doc").alias("b"))
     edges = links.unionByName(more).unionByName(copies)
     if by_id:
