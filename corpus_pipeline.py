@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each component of similar texts the row with the smallest doc_id stays, whatever ids rows share; null ids come last."""
     key, shared = shingle_join.row_key(docs)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    stay = shingle_join.link_rows(docs, key).groupBy("component").agg(first.alias("first")).select(F.col("first.row").alias("__key"))
+    stay = shingle_join.link_rows(docs, key, shared).groupBy("component").agg(first.alias("first")).select(F.col("first.row").alias("__key"))
     rows = docs.withColumn("__key", key).join(stay, "__key", "left_semi")
     if shared:  # rows with the same id and text
         rows = rows.groupBy("__key").agg(F.min(F.struct(*COLUMNS)).alias("__row")).select("__row.*")
