@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitmesh.llm import words as W
@@ -181,12 +181,7 @@ def _marks(code: np.ndarray, borders: np.ndarray, frequent, seed: int) -> pa.Arr
 
 
 def _postings(docs: DataFrame, frequent) -> DataFrame:
-    """``token, late, node, n, rare, place``: the prefix of each text under the first order, with the set's size, how many of its tokens are rare, and the token's place.
-
-    One more row for each text, without a token, has ``p1, p2``: the marks of its prefixes under the further orders.
-    """
-    names = ["token", "late", "node", "n", "rare", "place", "p1", "p2"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    """``token, late, node, n, rare, place``: the prefix of each text under the first order, with the set's size, how many of its tokens are rare, and the token's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,11 +199,20 @@ def _postings(docs: DataFrame, frequent) -> DataFrame:
             mine = order[place < np.repeat(prefix_length(n), n)]
             rare = n - np.bincount(text[late], minlength=len(n))
             columns = [pa.array(code[mine].view(np.int64)), pa.array(late[mine]), b["doc"].take(pa.array(text[mine])), pa.array(n[text[mine]].astype(np.int32)), pa.array(rare[text[mine]].astype(np.int32)), pa.array(place[place < np.repeat(prefix_length(n), n)].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(mine), k) for k in kinds[6:])], names)
-            marks = [_marks(code, borders, frequent.value, seed) for seed in ORDERS]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), kinds[0]), pa.nulls(len(n), kinds[1]), b["doc"], *(pa.nulls(len(n), k) for k in kinds[3:6]), *marks], names)
+            yield pa.RecordBatch.from_arrays(columns, ["token", "late", "node", "n", "rare", "place"])
+
+    return docs.mapInArrow(W.frugal(run), "token long, late boolean, node long, n int, rare int, place int")
+
+
+def _further(docs: DataFrame, frequent) -> DataFrame:
+    """``doc, p1, p2``: the marks of each text's prefixes under the further orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, borders = W.shingles(W.scan(b["text"]), SHINGLE)
+            yield pa.RecordBatch.from_arrays([b["doc"], *(_marks(code, borders, frequent.value, seed) for seed in ORDERS)], ["doc", "p1", "p2"])
 
-    return docs.mapInArrow(W.frugal(run), "token long, late boolean, node long, n int, rare int, place int, p1 array<int>, p2 array<int>")
+    return docs.mapInArrow(W.frugal(run), "doc long, p1 array<int>, p2 array<int>")
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:
@@ -340,15 +344,14 @@ def _reach(docs: DataFrame, key: Column, scratch: Scratch, by_id: bool, repeated
     scratch.tidy()
     classes = scratch.keep(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("node")))
     member = scratch.keep(sets.where("n > 0").join(classes.hint("merge"), ["k1", "k2", "n"]).select("doc", "node", "n").distinct())
-    every_posted = scratch.keep(_postings(own, frequent))
-    posted = every_posted.where("token IS NOT NULL").drop("p1", "p2")
-    marks = every_posted.where("token IS NULL").select(F.col("node").alias("doc"), "p1", "p2")
-    common = posted.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    met = posted.join(common.hint("shuffle_hash"), "token", "left_semi").withColumnRenamed("node", "doc")
+    # Rows of a token that stands once go. Each row looks at its neighbours in the token's group, so postings are dealt once and not written before.
+    beside = Window.partitionBy("token").orderBy("node")
+    met = _postings(own, frequent).withColumn("before", F.lag("node").over(beside)).withColumn("after", F.lead("node").over(beside))
+    met = met.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after").withColumnRenamed("node", "doc")
     shared = scratch.keep(met.join(member.hint("merge"), ["doc", "n"]).select("token", "late", "node", "n", "rare", "place").distinct())
     nodes = scratch.keep(shared.select(F.col("node").alias("doc")).distinct())
-    marks = scratch.keep(marks.join(nodes, "doc", "left_semi").dropDuplicates(["doc"]) if repeated else marks.join(nodes, "doc", "left_semi"))
-    scratch.drop(every_posted)
+    marks = _further(own, frequent).join(nodes.hint("merge"), "doc", "left_semi")
+    marks = scratch.keep(marks.dropDuplicates(["doc"]) if repeated else marks)
     # The node with the fewest rare tokens stands in the middle of its group. Some tokens of large groups have other hubs, by HUBS random orders.
     order = F.pmod(F.xxhash64("token"), F.lit(2 * HUBS)).cast("int")
     middle = F.shiftleft(F.col("rare").cast("long"), 40).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1)))
