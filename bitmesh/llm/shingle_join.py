@@ -9,7 +9,7 @@ independent hashes.
 1. Documents with equal sets form a class; its smallest row key stands for it. The
    key is the doc_id, or a hash of doc_id and text if an id is null or repeated.
 2. Frequent tokens are found by counting token fingerprints over all texts.
-3. Each class posts its prefix under the first order. One of every token's
+3. Every text posts its prefix under the first order, and postings of one class fold. One of every token's
    classes is the hub, and the others are candidates with it: a star, not all
    pairs. What links already connect needs no further look.
 4. Classes that share a posted token but no component yet are paired, but for
