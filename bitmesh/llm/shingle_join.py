@@ -50,6 +50,8 @@ FREQUENT = 32
 MOST_FREQUENT = 1 << 20
 #: Bytes of fingerprints that one counting task holds at about.
 COUNT_BYTES = 12 << 20
+#: Fingerprints that a task holds at about before it sends them: 4 MB, and a few times that while they are sorted and packed.
+HELD = 1 << 19
 #: Classes that are compared with a hub in one task at about.
 HUB_ROWS = 256
 #: Tasks that one document's partners of the last step are dealt to.
@@ -103,7 +105,12 @@ def _frequent(docs: DataFrame, tokens: int, frequent: int = FREQUENT) -> tuple[n
     width = -(-(2**48) // ranges)
 
     def emit(code: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        mark, count = np.unique(np.concatenate(code), return_counts=True)
+        every = np.concatenate(code)
+        code.clear()
+        every.sort()
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        mark, count = every[first], np.diff(np.r_[first, len(every)])
+        del every, first
         lines = -(-count // 255)
         count = np.where(np.arange(lines.sum()) == np.repeat(np.cumsum(lines) - 1, lines), np.repeat(count - (lines - 1) * 255, lines), 255)
         mark = np.repeat(mark, lines)
@@ -118,10 +125,9 @@ def _frequent(docs: DataFrame, tokens: int, frequent: int = FREQUENT) -> tuple[n
         held: list[np.ndarray] = []
         for b in batches:
             held.append(_fingerprints(W.shingle_runs(W.scan(b["text"]), SHINGLE)[0]))
-            if sum(map(len, held)) > 2_500_000:
+            if sum(map(len, held)) > HELD:
                 yield from emit(held)
-                held = []
-        if held:
+        if any(map(len, held)):
             yield from emit(held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
