@@ -872,3 +872,41 @@ def test_quality_edges(spark):
     assert quality.judge(empty(spark)).count() == 0
     rows = quality.judge(clashing(spark)).collect()
     assert [r["n_words"] for r in rows if r["text"] is None] == [0, 0] and {r["token"] for r in rows} == {"x"}
+
+
+class Plain:
+    """Just enough of a DataFrame to run the counting pass of the join in this process, on Arrow batches."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return Plain(list(run(iter(self.batches))))
+
+    def sortWithinPartitions(self, column):  # noqa: N802
+        table = pa.Table.from_batches(self.batches) if self.batches else None
+        return Plain(table.sort_by(column).to_batches() if table else [])
+
+    def toArrow(self):  # noqa: N802
+        return pa.Table.from_batches(self.batches, pa.schema([("mark", pa.int64()), ("total", pa.int64())]))
+
+    def same(self, *_):
+        return self
+
+    select = repartition = limit = orderBy = same
+
+
+def test_frequent_counts_of_many_sends(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    texts = [" ".join(rng.choice(vocabulary, 300)) + " one two three four five six" for _ in range(2 * shingle_join.HELD // 300)]
+    texts += ["a " * 70_000, "", "x", "x"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 200])], ["text"]) for i in range(0, len(texts), 200)]
+    code = np.concatenate([shingle_join._fingerprints(W.shingle_runs(W.scan(b["text"]), 5)[0]) for b in batches])
+    mark, total = np.unique(code, return_counts=True)
+    often = total > 1
+    got = shingle_join._frequent(Plain(batches), len(code), 1)
+    assert len(code) > shingle_join.HELD and total.max() > 255 * 255
+    assert (got[0] == mark[often]).all() and (got[1] == total[often]).all()
+    none = shingle_join._frequent(Plain([pa.RecordBatch.from_arrays([pa.array(["", ""])], ["text"])]), 0, 1)
+    assert len(none[0]) == len(none[1]) == 0
