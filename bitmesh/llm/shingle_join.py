@@ -6,10 +6,11 @@ first n - ceil(t * n) + 1 tokens, under every global order of the tokens. The
 orders here sort frequent tokens last, by their counts, and the others by
 independent hashes.
 
-1. Documents with equal sets form a class; its smallest row key stands for it. The
+1. Frequent tokens are found by counting token fingerprints over all texts.
+2. A second scan of all texts gives each one's set size, a hash of its set and its
+   prefixes. Documents with equal sets form a class; its smallest row key stands for it. The
    key is the doc_id, or a hash of doc_id and text if an id is null or repeated.
-2. Frequent tokens are found by counting token fingerprints over all texts.
-3. Every text posts its prefix under the first order, and postings of one class fold. One of every token's
+3. Every class posts its prefix under the first order. One of every token's
    classes is the hub, and the others are candidates with it: a star, not all
    pairs. What links already connect needs no further look.
 4. Classes that share a posted token but no component yet are paired, but for
@@ -19,7 +20,7 @@ independent hashes.
    order meet too. For that only 32-bit marks of these prefixes travel, a fifth
    of what the sets would take; a chance equality of marks costs a comparison,
    never a pair.
-6. The sets of what is left are compared whole.
+6. The sets of what is left are compared whole; only their texts are scanned once more.
 
 Joins of tables that grow with the input are sort merge joins at every size,
 so the plan measured on a small input is the one that runs on a large one.
@@ -50,6 +51,8 @@ FREQUENT = 32
 MOST_FREQUENT = 1 << 20
 #: Bytes of fingerprints that one counting task holds at about.
 COUNT_BYTES = 12 << 20
+#: Bytes of text to a token, for the number of counting tasks: few texts have more tokens.
+TOKEN_BYTES = 4
 #: Fingerprints that a task holds at about before it sends them: 4 MB, and a few times that while they are sorted and packed.
 HELD = 1 << 19
 #: Classes that are compared with a hub in one task at about.
@@ -60,6 +63,8 @@ REST_SALTS = 8
 HUBS, LARGE = 8, 16
 #: Seeds of the orders after the first (fixed values).
 ORDERS = (0x51ED270B27B5A3C5, 0x2545F4914F6CDD1D)
+#: Bits of a fingerprint by which most rare tokens are told without a search (a table of 4 MB).
+KNOWN_BITS = 22
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -78,21 +83,6 @@ def _fingerprints(code: np.ndarray) -> np.ndarray:
     return code >> W.U64(16)
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """``doc, id, n, k1, k2``: each document's set size and a 128-bit hash of its set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            code, borders = W.shingles(W.scan(b["text"]), SHINGLE)
-            sums = []
-            for salt in (1, 2):
-                total = np.r_[W.U64(0), np.cumsum(W.mix(code + W.U64(salt)))]
-                sums.append(pa.array((total[borders[1:]] - total[borders[:-1]]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b["doc"], b["id"], pa.array(np.diff(borders)), *sums], ["doc", "id", "n", "k1", "k2"])
-
-    return docs.mapInArrow(W.frugal(run), "doc long, id long, n long, k1 long, k2 long")
-
-
 def _frequent(docs: DataFrame, tokens: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of frequent tokens, sorted, and their counts.
 
@@ -134,13 +124,16 @@ def _frequent(docs: DataFrame, tokens: int, frequent: int = FREQUENT) -> tuple[n
         here, held = None, []
 
         def told() -> pa.RecordBatch:
-            raw = np.concatenate(held)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, 2:] = raw[:, :6]
-            mark, back = np.unique(wide.view(">u8").ravel().astype(np.uint64), return_inverse=True)
-            total = np.bincount(back, weights=raw[:, 6]).astype(np.int64)
+            wide = np.zeros((sum(map(len, held)), 8), np.uint8)
+            np.concatenate(held, out=wide[:, 1:])
+            every = wide.view(">u8").ravel().astype(np.uint64)  # a fingerprint, and behind it a number of its occurrences
+            del wide
+            every.sort()
+            mark = every >> W.U64(8)
+            first = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
+            total = np.add.reduceat(every & W.U64(255), first).astype(np.int64)
             often = total > frequent
-            return pa.RecordBatch.from_arrays([pa.array(mark[often].astype(np.int64)), pa.array(total[often])], ["mark", "total"])
+            return pa.RecordBatch.from_arrays([pa.array(mark[first[often]].astype(np.int64)), pa.array(total[often])], ["mark", "total"])
 
         for b in batches:
             for r, packed in zip(b["range"].to_pylist(), b["packed"], strict=True):
@@ -160,65 +153,74 @@ def _frequent(docs: DataFrame, tokens: int, frequent: int = FREQUENT) -> tuple[n
     return mark[order], total[order]
 
 
-def _order(code: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], seed: int) -> np.ndarray:
+def _late(code: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the frequent tokens stand, and their counts. ``known`` tells the first KNOWN_BITS bits of frequent fingerprints, so few others are looked up."""
+    marks, totals = frequent
+    found = _fingerprints(code)
+    late = np.flatnonzero(known[found >> W.U64(48 - KNOWN_BITS)])
+    found = found[late]
+    at = np.minimum(np.searchsorted(marks, found), max(len(marks) - 1, 0))
+    same = marks[at] == found
+    return late[same], totals[at[same]]
+
+
+def _order(code: np.ndarray, late: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
     """Sort keys of tokens under an order: rare tokens by hash, then frequent ones by count and hash. The highest bit tells the latter."""
     spread = W.mix(code ^ W.U64(seed)) if seed else code
     key = spread >> W.U64(1)
-    marks, totals = frequent
-    if len(marks):
-        found = _fingerprints(code)
-        at = np.minimum(np.searchsorted(marks, found), len(marks) - 1)
-        late = np.flatnonzero(marks[at] == found)
-        count = np.minimum(totals[at[late]], W.U64((1 << 23) - 1))
-        key[late] = W.U64(1 << 63) | count << W.U64(40) | spread[late] >> W.U64(24)
+    key[late] = W.U64(1 << 63) | np.minimum(count, W.U64((1 << 23) - 1)) << W.U64(40) | spread[late] >> W.U64(24)
     return key
 
 
-def _marks(code: np.ndarray, borders: np.ndarray, frequent, seed: int) -> pa.Array:
-    """32-bit marks of each set's prefix under a further order, as lists."""
-    n = np.diff(borders)
-    text = np.repeat(np.arange(len(n)), n)
-    key = _order(code, frequent, seed)
-    order = np.lexsort((key, text))
-    place = np.arange(len(order)) - np.repeat(borders[:-1], n)
-    mine = order[place < np.repeat(prefix_length(n), n)]
-    marks = (W.mix(code[mine] ^ W.U64(seed)) >> W.U64(32)).astype(np.uint32).view(np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, prefix_length(n), 0))], pa.int32()), pa.array(marks))
+def _marks(key: np.ndarray, borders: np.ndarray, size: np.ndarray, prefix: np.ndarray) -> pa.Array:
+    """32-bit marks of each set's prefix under a further order, as lists: 32 bits of the hash that the keys hold. ``key`` is left in another order."""
+    for a, b, n in zip(borders[:-1].tolist(), borders[1:].tolist(), size.tolist(), strict=True):
+        if n < b - a:
+            key[a:b].partition(n - 1)
+    mine = key[np.repeat(borders[:-1] - prefix[:-1], size) + np.arange(prefix[-1])]
+    marks = np.where(mine >= W.U64(1 << 63), mine >> W.U64(8), mine >> W.U64(31)).astype(np.uint32)
+    return pa.ListArray.from_arrays(pa.array(prefix, pa.int32()), pa.array(marks.view(np.int32)))
 
 
-def _postings(docs: DataFrame, frequent) -> DataFrame:
-    """``token, late, node, n, rare, place``: the prefix of each text under the first order, with the set's size, how many of its tokens are rare, and the token's place."""
+def _digests(docs: DataFrame, frequent) -> DataFrame:
+    """All that is needed of each text until sets are compared, by one scan.
+
+    ``n``: its set's size, ``rare``: how many of its tokens are rare, ``k1, k2``:
+    a 128-bit hash of the set, ``tokens``: the prefix under the first order, in
+    order, ``p1, p2``: the marks of the prefixes under the further orders.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(1 << KNOWN_BITS, bool)
+        known[frequent.value[0] >> W.U64(48 - KNOWN_BITS)] = True
         for b in batches:
             code, borders = W.shingles(W.scan(b["text"]), SHINGLE)
             n = np.diff(borders)
-            text = np.repeat(np.arange(len(n)), n)
-            key = _order(code, frequent.value, 0)
-            late = key >= W.U64(1 << 63)
+            sums = []
+            for salt in (1, 2):
+                total = np.r_[W.U64(0), np.cumsum(W.mix(code + W.U64(salt)))]
+                sums.append(pa.array((total[borders[1:]] - total[borders[:-1]]).view(np.int64)))
+            late, count = _late(code, frequent.value, known)
+            owner = np.searchsorted(borders, late, "right") - 1
+            often = np.bincount(owner, minlength=len(n))
+            rare = n - often
+            size = np.where(n > 0, prefix_length(n), 0)
+            prefix = np.r_[0, np.cumsum(size)]
             # a text's tokens come sorted by hash, so that only the frequent ones have to be sorted and moved behind the others
-            order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])
-            order = order[np.argsort(text[order], kind="stable")]
-            some = np.flatnonzero(late[order])
-            order[some] = order[some][np.lexsort((key[order[some]], text[order[some]]))]
-            place = np.arange(len(order)) - np.repeat(borders[:-1], n)
-            mine = order[place < np.repeat(prefix_length(n), n)]
-            rare = n - np.bincount(text[late], minlength=len(n))
-            columns = [pa.array(code[mine].view(np.int64)), pa.array(late[mine]), b["doc"].take(pa.array(text[mine])), pa.array(n[text[mine]].astype(np.int32)), pa.array(rare[text[mine]].astype(np.int32)), pa.array(place[place < np.repeat(prefix_length(n), n)].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "late", "node", "n", "rare", "place"])
-
-    return docs.mapInArrow(W.frugal(run), "token long, late boolean, node long, n int, rare int, place int")
-
-
-def _further(docs: DataFrame, frequent) -> DataFrame:
-    """``doc, p1, p2``: the marks of each text's prefixes under the further orders."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            code, borders = W.shingles(W.scan(b["text"]), SHINGLE)
-            yield pa.RecordBatch.from_arrays([b["doc"], *(_marks(code, borders, frequent.value, seed) for seed in ORDERS)], ["doc", "p1", "p2"])
-
-    return docs.mapInArrow(W.frugal(run), "doc long, p1 array<int>, p2 array<int>")
+            tokens = np.zeros(prefix[-1], np.uint64)
+            first = np.minimum(rare, size)
+            others = np.delete(code, late)
+            within = np.arange(first.sum()) - np.repeat(np.cumsum(first) - first, first)
+            tokens[np.repeat(prefix[:-1], first) + within] = others[np.repeat(np.cumsum(rare) - rare, first) + within]
+            order = np.lexsort((_order(code[late], np.arange(len(late)), count, 0), owner))
+            place = rare[owner] + np.arange(len(late)) - np.repeat(np.cumsum(often) - often, often)
+            mine = np.flatnonzero(place < size[owner])
+            tokens[prefix[owner[mine]] + place[mine]] = code[late[order[mine]]]
+            lists = pa.ListArray.from_arrays(pa.array(prefix, pa.int32()), pa.array(tokens.view(np.int64)))
+            marks = [_marks(_order(code, late, count, seed), borders, size, prefix) for seed in ORDERS]
+            yield pa.RecordBatch.from_arrays([b["doc"], b["id"], pa.array(n), pa.array(rare.astype(np.int32)), *sums, lists, *marks], ["doc", "id", "n", "rare", "k1", "k2", "tokens", "p1", "p2"])
+
+    return docs.mapInArrow(W.frugal(run), "doc long, id long, n long, rare int, k1 long, k2 long, tokens array<long>, p1 array<int>, p2 array<int>")
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:
@@ -344,20 +346,26 @@ def _reach(docs: DataFrame, key: Column, scratch: Scratch, by_id: bool, repeated
     prepare(spark)
     every = docs.select(key.alias("doc"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = every.select("doc", "text")
-    sets = scratch.keep(_classes(every))
-    tokens = sets.agg(F.sum("n")).first()[0] or 0
+    tokens = (every.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TOKEN_BYTES
     frequent = spark.sparkContext.broadcast(_frequent(own, tokens))  # at most MOST_FREQUENT numbers and their counts
     scratch.tidy()
+    digests = scratch.keep(_digests(every, frequent))
+    sets = scratch.keep(digests.select("doc", "id", "n", "k1", "k2"))
     classes = scratch.keep(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("node")))
-    member = scratch.keep(sets.where("n > 0").join(classes.hint("merge"), ["k1", "k2", "n"]).select("doc", "node", "n").distinct())
+    copies = scratch.keep(sets.where("n > 0").join(classes.hint("merge"), ["k1", "k2", "n"]).where("doc <> node").select(F.col("node").alias("a"), F.col("doc").alias("b")).distinct())
+    # of every class one row goes on
+    first = digests.join(classes.select(F.col("node").alias("doc")).hint("merge"), "doc", "left_semi").select("doc", "n", "rare", "tokens", "p1", "p2")
+    first = scratch.keep(first.dropDuplicates(["doc"]) if repeated else first)
+    scratch.drop(digests)
     # Rows of a token that stands once go. Each row looks at its neighbours in the token's group, so postings are dealt once and not written before.
     beside = Window.partitionBy("token").orderBy("node")
-    met = _postings(own, frequent).withColumn("before", F.lag("node").over(beside)).withColumn("after", F.lead("node").over(beside))
-    met = met.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after").withColumnRenamed("node", "doc")
-    shared = scratch.keep(met.join(member.hint("merge"), ["doc", "n"]).select("token", "late", "node", "n", "rare", "place").distinct())
+    met = first.select(F.col("doc").alias("node"), F.col("n").cast("int").alias("n"), "rare", F.posexplode("tokens").alias("place", "token"))
+    met = met.withColumn("before", F.lag("node").over(beside)).withColumn("after", F.lead("node").over(beside))
+    met = met.where("before IS NOT NULL OR after IS NOT NULL")
+    shared = scratch.keep(met.select("token", (F.col("place") >= F.col("rare")).alias("late"), "node", "n", "rare", "place"))
     nodes = scratch.keep(shared.select(F.col("node").alias("doc")).distinct())
-    marks = _further(own, frequent).join(nodes.hint("merge"), "doc", "left_semi")
-    marks = scratch.keep(marks.dropDuplicates(["doc"]) if repeated else marks)
+    marks = scratch.keep(first.select("doc", "p1", "p2").join(nodes.hint("merge"), "doc", "left_semi"))
+    scratch.drop(first)
     # The node with the fewest rare tokens stands in the middle of its group. Some tokens of large groups have other hubs, by HUBS random orders.
     order = F.pmod(F.xxhash64("token"), F.lit(2 * HUBS)).cast("int")
     middle = F.shiftleft(F.col("rare").cast("long"), 40).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1)))
@@ -399,7 +407,6 @@ def _reach(docs: DataFrame, key: Column, scratch: Scratch, by_id: bool, repeated
     rest = rest.where(F.col("c") >= need).select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
     rest = scratch.keep(rest.select(F.col("a").alias("hub"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.lit(REST_SALTS)).cast("int").alias("salt")))
     more = scratch.keep(_verify(own, rest, marks, scratch, repeated).where(LINKED).select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    copies = member.where("doc <> node").select(F.col("node").alias("a"), F.col("doc").alias("b"))
     edges = links.unionByName(more).unionByName(copies)
     if by_id:
         rows = sets.where("id IS NOT NULL").select("id", "doc").distinct()

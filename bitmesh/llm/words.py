@@ -209,8 +209,12 @@ def shingle_runs(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
 def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, and their n + 1 borders."""
     code, text = shingle_runs(words, size)
-    order = np.lexsort((code, text))
-    code, text = code[order], text[order]
+    if len(text) and (text[1:] < text[:-1]).any():  # short texts come last there
+        order = np.argsort(text, kind="stable")
+        code, text = code[order], text[order]
+    borders = np.searchsorted(text, np.arange(len(words.first))).tolist()
+    for a, b in zip(borders[:-1], borders[1:], strict=True):
+        code[a:b].sort()
     new = np.ones(len(code), bool)
     new[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
     code, text = code[new], text[new]

@@ -910,3 +910,35 @@ def test_frequent_counts_of_many_sends(spark):
     assert (got[0] == mark[often]).all() and (got[1] == total[often]).all()
     none = shingle_join._frequent(Plain([pa.RecordBatch.from_arrays([pa.array(["", ""])], ["text"])]), 0, 1)
     assert len(none[0]) == len(none[1]) == 0
+
+
+def test_digests_of_one_scan(texts):
+    every = texts + near_family() + ["a b c", "x " * 3000]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + len(t))), pa.array(range(i, i + len(t))), pa.array(t)], ["doc", "id", "text"]) for i in range(0, len(every), 50) for t in [every[i : i + 50]]]
+    code, borders = W.shingles(W.scan(pa.array(every)))
+    mark, total = np.unique(shingle_join._fingerprints(code), return_counts=True)
+    for bar in (2, 10**6):
+        counts = dict(zip(mark[total > bar].tolist(), total[total > bar].tolist(), strict=True))
+        frequent = type("Sent", (), {"value": (mark[total > bar], total[total > bar].astype(np.uint64))})
+        got = pa.Table.from_batches(shingle_join._digests(Plain(batches), frequent).batches).to_pylist()
+        assert len(got) == len(every) and (sum(r["n"] > r["rare"] for r in got) > 20) == (bar == 2)
+        for r, a, b in zip(got, borders[:-1], borders[1:], strict=True):
+            own = code[a:b].tolist()
+            size = int(shingle_join.prefix_length(len(own))) if own else 0
+
+            def prefix(seed, own=own, size=size):
+                spread = {c: int(W.mix(np.array([c ^ seed], np.uint64))[0]) if seed else c for c in own}
+                return [(c, spread[c]) for c in sorted(own, key=lambda c: (counts.get(c >> 16, 0), spread[c]))[:size]]
+
+            assert (r["n"], r["rare"]) == (len(own), sum(c >> 16 not in counts for c in own))
+            assert [c % 2**64 for c in r["tokens"]] == [c for c, _ in prefix(0)]
+            for p, seed in zip(("p1", "p2"), shingle_join.ORDERS, strict=True):
+                assert sorted(c % 2**32 for c in r[p]) == sorted(s >> 32 for _, s in prefix(seed))
+
+
+def test_shingle_join_scans_whole_texts_twice(spark, monkeypatch):
+    scans, kind = [], type(spark.range(0))
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: (scans.append("text" in self.columns), plain(self, *a, **b))[1])
+    assert {tuple(r) for r in shingle_join.link(spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "g")], DOCS)).collect()} == {(1, 2, 1), (2, 2, 1), (3, 1, 3)}
+    assert sum(scans) == 4  # to count and to digest; after that candidates alone, in two steps
