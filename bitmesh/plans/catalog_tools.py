@@ -11,7 +11,7 @@ from bitmesh.operators.index import Index
 from bitmesh.plans import chunks as P
 from bitmesh.plans.catalog import SIGNS, _add, _cross_sql, _self_sql, _simhash_sql, sign_codes, text_codes
 from bitmesh.sources import codes_io, generate
-from bitmesh.sources.shared import new_path
+from bitmesh.sources.shared import new_path, stored
 
 
 def _rows(s: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -29,7 +29,7 @@ for _name, _join in pairs.VARIANTS.items():
     _add(f"variant_{_name}", lambda s, d, join=_join: join(sign_codes(s, d), 19, 8), _self_sql(SIGNS, 19))
 _add("cross_brute_signs", lambda s, d: pairs.find_pairs_cross_brute(sign_codes(s, d), sign_codes(s, d), 16, 8), _cross_sql(SIGNS, 16))
 _add("within_signs", lambda s, d: pairs.find_pairs_within(sign_codes(s, d), 17, d_bytes=8), _self_sql(SIGNS, 17))
-_add("within_any_radius", lambda s, d: pairs.find_pairs_within(sign_codes(s, d), 64, d_bytes=8).groupBy("dist").agg(F.count("*").alias("pairs")), f"WITH r AS ({_self_sql(SIGNS, 64)}) SELECT dist, count(*) AS pairs FROM r GROUP BY dist")
+_add("within_any_radius", lambda s, d: pairs.count_pairs_within(sign_codes(s, d), 64, 8), f"WITH r AS ({_self_sql(SIGNS, 64)}) SELECT dist, count(*) AS pairs FROM r GROUP BY dist")
 
 
 def _try(s: SparkSession, d: str) -> DataFrame:
@@ -94,11 +94,10 @@ _add("adaptive_plan_bits", _adaptive, f"WITH {SIGNS} SELECT bit::INT AS bit FROM
 
 # index life
 def _index_life(s: SparkSession, d: str) -> DataFrame:
-    """Codes added one by one and as batches, the index opened again and compacted in between, then searched one by one."""
+    """Codes added one by one and as batches, the index opened again and compacted in between, then searched for all queries."""
     path = new_path(s, "index")
-    codes = sign_codes(s, d)
+    codes = stored(sign_codes(s, d))
     some = [bytes(r["code"]) for r in codes.where("id < 2").orderBy("id").collect()]
-    asked = codes.where("id % 100 = 0").collect()
     index = Index(s, path, 8, 20)
     empty = index.is_empty
     ids = [index.add(c) for c in some]
@@ -108,7 +107,7 @@ def _index_life(s: SparkSession, d: str) -> DataFrame:
     index = Index(s, path, 8, 20)
     ids.append(index.add_batch(codes.where("id >= 60")))
     assert empty and ids == [0, 1, 2, 2, 60] and len(index) == codes.count()
-    return _rows(s, [(q["id"], i, dist) for q in asked for i, dist in index.query(bytes(q["code"]))], "query_id bigint, id bigint, dist int")
+    return index.query_batch(codes.where("id % 100 = 0"), nested=False)
 
 
 _add("index_add_reopen_query", _index_life, f"WITH {SIGNS} SELECT a.id AS query_id, b.id AS id, bit_count(xor(a.code, b.code))::INT AS dist FROM codes a JOIN codes b ON bit_count(xor(a.code, b.code)) <= 20 WHERE a.id % 100 = 0")
@@ -200,7 +199,7 @@ RUN = ["pairs byte", "pairs bit", "pairs adaptive", "brute force", "multi-index"
 
 def _harness(s: SparkSession, d: str) -> DataFrame:
     """A comparison at a radius that bytes can't serve: that method's row has its error, the exact ones find the same pairs."""
-    codes = sign_codes(s, d)
+    codes = stored(sign_codes(s, d))
     n = codes.count()
     out = harness.run(codes, "signs", n, 64, 12, [m for m in RUN if not m.startswith("cross")], pairs.find_pairs_self_bit(codes, 12, 8))
     out += harness.run(codes, "signs", n, 64, 12, [m for m in RUN if m.startswith("cross")], pairs.find_pairs_cross_bit(*generate.split_in_half(codes, n), 12, 8))
@@ -227,7 +226,7 @@ _add("harness_latest", lambda s, d: harness.latest(_results(s), 3).select("metho
 
 def _latency(s: SparkSession, d: str) -> DataFrame:
     """The three ways to answer single queries: every held-out query is timed."""
-    codes = sign_codes(s, d)
+    codes = stored(sign_codes(s, d))
     out = harness.run(codes, "signs", codes.count(), 64, 8, harness.list_methods("streaming-index"))
     rows = s.createDataFrame(out, harness.RESULT)
     e = lambda c: F.col("extra")[c].cast("double")
@@ -242,7 +241,7 @@ def _recall_nearest(s: SparkSession, d: str) -> DataFrame:
     from bitmesh.operators import approx
 
     codes = text_codes(s, d)
-    return approx.recall(approx.nearest_pairs(codes, 6, 10), pairs.find_pairs_self_bit(codes, 6, 8))
+    return approx.recall(approx.nearest_pairs(codes, 6, 10, 8), pairs.find_pairs_self_bit(codes, 6, 8))
 
 
 _add(
