@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitmesh.functions import codes as C
 from bitmesh.operators import approx, pairs
 from bitmesh.operators.index import Index
 from bitmesh.sources import generate
@@ -58,19 +59,31 @@ def _index_latency(codes: DataFrame, k: int) -> dict[str, float]:
     start = time.perf_counter()
     index = Index(codes.sparkSession, new_path(codes.sparkSession, "index"), width, k)
     index.add_batch(rest)
-    return _latencies(index.query, asked, time.perf_counter() - start)
+    index.hold()
+    try:
+        return _latencies(index.query, asked, time.perf_counter() - start)
+    finally:
+        index.release()
 
 
-def _search_latency(search: Callable[[DataFrame, DataFrame, int], DataFrame]) -> Callable[[DataFrame, int], dict[str, float]]:
-    """Single queries by a join of one row with the other codes, which are stored first."""
+def _search_latency(search: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], dict[str, float]]:
+    """Single queries by a scan of the other codes, whose words the executors keep: ``search`` gets the rows within k as ``i, j, dist``."""
 
     def run(codes: DataFrame, k: int) -> dict[str, float]:
-        spark = codes.sparkSession
         rest, asked, width = _held_out(codes)
         start = time.perf_counter()
-        rest = stored(rest)
+        kept = C.to_words(rest, width).coalesce(codes.sparkSession.sparkContext.defaultParallelism).cache()
+        kept.count()
         built = time.perf_counter() - start
-        return _latencies(lambda code: search(spark.createDataFrame([(0, bytearray(code))], "id bigint, code binary"), rest, k, width).collect(), asked, built)
+
+        def ask(code: bytes) -> list:
+            dist = C.hamming([F.col(n) for n in C.word_names(width)], [F.lit(v) for v in C.word_values(code)])
+            return search(kept.select(F.lit(0).cast("bigint").alias("i"), F.col("id").alias("j"), dist.cast("int").alias("dist")).where(F.col("dist") <= k)).collect()
+
+        try:
+            return _latencies(ask, asked, built)
+        finally:
+            kept.unpersist()
 
     return run
 
@@ -89,8 +102,8 @@ METHODS = [
     Method("nearest 200", "approximate-tunable", lambda c, k: approx.nearest_pairs(c, k, 200)),
     Method("hash tables 50", "approximate-tunable", lambda c, k: approx.lsh_pairs(c, k, 50, 16)),
     Method("index", "streaming-index", _index_latency),
-    Method("brute force query", "streaming-index", _search_latency(lambda q, c, k, width: pairs.find_pairs_cross_brute(q, c, k, width))),
-    Method("nearest query", "streaming-index", _search_latency(lambda q, c, k, width: pairs.find_pairs_cross_bit(q, c, k, width).orderBy("dist", "j").limit(50))),
+    Method("brute force query", "streaming-index", _search_latency(lambda found: found)),
+    Method("nearest query", "streaming-index", _search_latency(lambda found: found.orderBy("dist", "j").limit(50))),
     Method("cross byte", "cross-join", pairs.find_pairs_cross),
     Method("cross bit", "cross-join", pairs.find_pairs_cross_bit),
     Method("cross brute force", "cross-join", pairs.find_pairs_cross_brute),
@@ -150,6 +163,8 @@ GENERATORS = {"uniform": generate.uniform, "clustered": generate.clustered, "low
 def run(codes: DataFrame, dataset: str, n: int, d_bits: int, k: int, names: list[str], truth: DataFrame | None = None) -> list[tuple]:
     """One result row for each method. A method that fails gives a row with the error and no figures; recall is null without truth or without true pairs."""
     out = []
+    if truth is not None:  # each method is compared with it
+        truth = stored(truth.select("i", "j"))
     for name in names:
         m = method(name)
         cross = m.category == "cross-join"
